@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, quality, sharding, token_output, url_filters
+from . import decontaminate, jaccard_join, packing, pii, quality, sharding, token_output, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents")).drop("h", "class_h")
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.packed_rows(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_token_output": op2_token_output,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sharding": op5_sharding,
