@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, packing, pii, quality, sharding, token_output, url_filters
+from . import decontaminate, jaccard_join, lm_scoring, packing, pii, quality, sharding, token_output, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_minimax(table(spark, sf_dir, "documents"), 24).drop("group_hash")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": op2_token_output,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sharding": op5_sharding,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_url_filters": op7_url_filters,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
