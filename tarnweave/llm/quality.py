@@ -80,9 +80,13 @@ def measure(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     at = F.col(f"{p}p")
     covered = F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(3), F.coalesce(F.try_element_at(at, k + 2) - x, F.lit(3)))), F.lit(0).cast("long"), lambda acc, x: acc + x)
     lines = F.col(f"{p}l")
+    # A filter on the measurements must not be pushed below this projection: it would drag the
+    # expressions along and evaluate the splits again for every element. A term that the
+    # optimizer may not move holds it above.
+    held = F.monotonically_increasing_id() * 0
     return df.withColumns(
         {
-            f"{p}n_words": n.cast("long"),
+            f"{p}n_words": n.cast("long") + held,
             f"{p}word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
             f"{p}n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
             f"{p}n_lines": F.size(lines).cast("long"),
