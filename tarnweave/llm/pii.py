@@ -242,13 +242,13 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span of their text replaced by its kind in angle brackets.
 
-    Overlapping spans are merged under the kind of the first. The other columns stay as they are.
+    Overlapping spans are merged under the kind of the first, of equal starts the longest. The other columns stay as they are.
     """
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")).withColumn("_text", F.col("_row").getField(text_col))
     df = candidates(packed, "_text").withColumnRenamed("_p_cands", "_cands")
     df = materialize(df, "pii_docs")
     model = train(df, "_cands")
-    by_start = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+    by_start = lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["end"].alias("end"), x["kind"].alias("kind"))
     df = df.withColumn("_s", F.sort_array(F.transform(F.filter("_cands", lambda x: accepted(x, model)), by_start)))
     s = F.col("_s")
     word = lambda x: F.concat(F.lit("<"), F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), F.lit(">"))
