@@ -109,3 +109,14 @@ def snapshot_items(hosts: DataFrame) -> DataFrame:
     rows = hosts.select("host", "subdomains", F.explode("items").alias("i")).select("host", "subdomains", "i.queue", "i.level", "i.seq", F.col("i.line").alias("line"))
     items = decode_items(rows).where("valid").where((F.col("subdomain_index") >= 0) & (F.col("subdomain_index") < F.size("subdomains")))
     return items.withColumn("subdomain", F.get("subdomains", F.col("subdomain_index"))).drop("subdomains", "line", "valid")
+
+
+def snapshot_texts(hosts: DataFrame) -> DataFrame:
+    """Host rows (as ``read_snapshots`` gives them) as snapshot texts: (host, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([r["host"] for r in rows], pa.string()), pa.array([format_snapshot(r) for r in rows], pa.string())], names=["host", "text"])
+
+    return hosts.mapInArrow(run, "host string, text string")
