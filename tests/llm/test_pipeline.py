@@ -1,9 +1,7 @@
+import corpus_pipeline as pipeline
 import models
-import pytest
 from pyspark.sql import functions as F
 
-pipeline = pytest.importorskip("corpus_pipeline")
-
 
 def test_stages_against_models(spark, tmp_path):
     rows = list({i: (i, t) for i, t in models.corner_rows(3)}.values())
