@@ -36,7 +36,7 @@ from .common import in_key_order, materialize, runs_of_key
 from .packing import slices
 
 BLOCK_BYTES = 12_000_000
-#: N-grams of one part, about, and the most parts.
+#: N-grams of one part, about.
 PART_NGRAMS = 2_000_000
 FOLDS = 16
 BUCKETS = 24
@@ -45,8 +45,8 @@ _END = np.uint64(0x5DEECE66D1234567)
 _NO_ID = -(1 << 63)
 
 
-def _put(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(pickle.dumps(arrays, 5))
+def _put(*arrays, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level).compress(pickle.dumps(arrays, 5))
 
 
 def _get(raw: bytes) -> tuple:

@@ -41,12 +41,12 @@ from .suffix_hash import PrefixHash, equal_windows, mix, runs, suffix_sort
 
 WIDTH = 100
 GRAM = 32
-BLOCK_BYTES = 8_000_000
-PART_RUNS = 1_000_000
+BLOCK_BYTES = 4_000_000
+PART_RUNS = 500_000
 #: Different runs of one anchor from which its windows are dealt out one by one.
 HOT = 2_000
 #: Bytes that are sorted at a time within a part.
-SORT_BYTES = 4_000_000
+SORT_BYTES = 1_000_000
 _NO_ID = -(1 << 63)
 
 ROWS = "block long, kind int, part int, bytes long, data binary"
@@ -67,7 +67,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = pc.fill_null(part.column("text").cast(pa.large_binary()), b"")
             lens = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
             ids = pc.fill_null(part.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False)
-            yield _batch([(block, TEXT, 0, int(lens.sum()), _put(ids, lens, b"".join(text.to_pylist())))])
+            yield _batch([(block, TEXT, 0, int(lens.sum()), _put(ids, lens, b"".join(text.to_pylist()), level=6))])
             block += 1
 
 
@@ -119,6 +119,8 @@ def _deal(bits: int, width: int, gram: int) -> Callable:
                 rows = []
                 for kind, keys, more in ((RUNS, b.run_keys, (b.run_id, b.run_start)), (ANCHORS, b.anchor_keys, (low, high ^ low, count))):
                     cut = _bounds(keys, bits)
+                    if kind == ANCHORS:  # 32 more bits tell them apart within a part; a mix-up only costs a sort
+                        keys = (keys >> np.uint64(8)).astype(np.uint32)
                     rows += [(block, kind, p, 0, _put(*(x[cut[p] : cut[p + 1]] for x in (keys, *more)))) for p in range(1 << bits) if cut[p + 1] > cut[p]]
                 yield _batch(rows)
 

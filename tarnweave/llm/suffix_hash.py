@@ -7,7 +7,7 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -86,7 +86,8 @@ def runs(data: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.
         body = ph.of(a, b + width)
         with np.errstate(over="ignore"):
             run = mix(body + mix((b - a).astype(np.uint64) * np.uint64(1 << 32) + (anchor[a] - a).astype(np.uint64)))
-        found.append((a + lo, b + lo, grams[anchor[a]], run, anchor[a] - a))
+        # anchors are least hashes and so lie low; mixed again they spread evenly
+        found.append((a + lo, b + lo, mix(grams[anchor[a]] ^ np.uint64(_BASE)), run, anchor[a] - a))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
