@@ -32,8 +32,12 @@ END_ID = 1
 OPEN_BINS = 256
 REPACK = 200_000
 #: Words that a worker keeps encoded between batches, and bytes of text encoded at a time.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 SLICE_BYTES = 12_000_000
+#: Closing marks, and the end of a word that keeps them a token of their own: a Latin letter or digit
+#: (not U+0130, whose lower case ends in a mark).
+MARKS = ".,;:!?"
+LETTER_END = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]$"
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -63,16 +67,40 @@ class WordEncoder:
             self.kept[words[i]] = out[i]
         return out
 
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids in a row, where each word's begin, how many) of distinct words.
+
+        ASCII words are lower-cased first, as the tokenizer does. Closing marks after a Latin letter or
+        a digit always are a token of their own, so words that differ only there share their stem.
+        """
+        low = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        bare = pc.ascii_rtrim(low, characters=MARKS)
+        apart = pc.match_substring_regex(bare, LETTER_END)
+        stems = pc.if_else(apart, bare, low).dictionary_encode()
+        tails = pc.if_else(apart, pc.struct_field(pc.extract_regex(low, f"(?P<tail>[{MARKS}]*)$"), "tail"), "").dictionary_encode()
+        parts = []
+        for coded in (stems, tails):
+            each = self._words(coded.dictionary.to_pylist())
+            n = np.fromiter((len(x) for x in each), np.int64, len(each))
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            parts.append((np.concatenate(each) if each else np.empty(0, np.uint32), np.cumsum(n) - n, n, at))
+        size = sum(n[at] for _, _, n, at in parts) if len(words) else np.empty(0, np.int64)
+        first = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.uint32)
+        shift = first
+        for ids, begin, n, at in parts:
+            count = n[at]
+            within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            flat[np.repeat(shift, count) + within] = ids[np.repeat(begin[at], count) + within]
+            shift = shift + count
+        return flat, first, size
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, each text followed by ``end_id``; and where each text starts."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        words = lists.flatten()
-        coded = pc.fill_null(words, "").dictionary_encode()
+        coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        each = self._words(coded.dictionary.to_pylist())
-        size = np.fromiter((len(x) for x in each), np.int64, len(each))
-        flat = np.concatenate(each) if each else np.empty(0, np.uint32)
-        first = np.cumsum(size) - size
+        flat, first, size = self._distinct(coded.dictionary)
         per_word = size[index] if len(index) else np.empty(0, np.int64)
         done = np.concatenate(([0], np.cumsum(per_word)))
         offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
