@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from .common import in_key_order, materialize, runs_of_key
 from .packing import slices
 
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 6_000_000
 #: N-grams of one part, about.
-PART_NGRAMS = 2_000_000
+PART_NGRAMS = 1_000_000
 FOLDS = 16
 BUCKETS = 24
 _K = np.uint64(0x9E3779B97F4A7C15)
