@@ -67,6 +67,17 @@ def test_recall_of_chosen_paths():
     assert missed <= 1
 
 
+def test_sketches_miss_no_link_of_small_sets():
+    rng = np.random.default_rng(2)
+    for n in (5, 9, 22, 46, 90, 200, 500):
+        both = -(-2 * n * 4 // 9)  # the least that two sets of n must share at 0.8
+        for _ in range(400):
+            pool = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
+            a, b = np.sort(pool[:n]), np.sort(pool[n - both :])
+            bits = np.stack([np.frombuffer(jaccard_join.sketch(s), np.uint64) for s in (a, b)])
+            assert jaccard_join.similar_sketches(bits, np.array([n, n]), 0.8)[0, 1], n
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (9, 8), (4, 3), (5, 5), (None, 1)], "a long, b long")
     assert {r.node: r.root for r in common.components(edges, "a", "b").collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
