@@ -17,13 +17,18 @@ items no document is hit. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WINDOW = 13
 PASS_WORDS = 400_000
 #: Maps bytes: A-Z to a-z, other ASCII that isn't a letter or digit to a space.
@@ -106,11 +111,44 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def without_passages(text: str, tables: list[Searcher]) -> str:
+    """The text without its runs of hit words, and without those that the cuts bring about."""
+    raw = text.encode("utf-8", "surrogatepass")
+    while True:
+        words = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_TABLE))]
+        spans, _ = hits(words_of(raw.decode("utf-8", "surrogatepass")), tables)
+        if not spans:
+            return raw.decode("utf-8", "surrogatepass")
+        for a, b in reversed(spans):
+            raw = raw[: words[a][0]] + raw[words[b - 1][1] :]
+
+
 _built: dict[str, list[Searcher]] = {}
 
 
-def _pass(items, window: int, text: str) -> Callable:
-    """An Arrow function that adds the hits of one broadcast block of items."""
+def _cut(items, window: int) -> Callable:
+    """An Arrow function that cuts the passages of one broadcast block of items out of ``_text``."""
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = pc.greater(pc.list_value_length(batch.column("_hits")), 0)
+            if pc.any(hit).as_py():
+                if name not in _built:
+                    _built.clear()
+                    _built[name] = searchers(items.value, window)
+                texts = batch.column("_text").to_pylist()
+                for i in pc.indices_nonzero(hit).to_pylist():
+                    texts[i] = without_passages(texts[i], _built[name])
+                batch = batch.set_column(batch.schema.get_field_index("_text"), "_text", pa.array(texts, batch.schema.field("_text").type))
+            yield batch
+
+    return run
+
+
+def _pass(items, window: int, text: str, cut: bool = False) -> Callable:
+    """An Arrow function that adds the hits of one broadcast block of items; ``cut``, for the only block:
+    cuts them out of the texts that aren't contaminated."""
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +158,7 @@ def _pass(items, window: int, text: str) -> Callable:
             tables = _built[name] = searchers(items.value, window)
         for batch in batches:
             spans, ids, counts = batch.column("_hits").to_pylist(), batch.column("_items").to_pylist(), []
+            short: dict[int, str] = {}
             for i, t in enumerate(batch.column(text)):
                 w = words_of(t.as_py())
                 counts.append(len(w))
@@ -127,7 +166,11 @@ def _pass(items, window: int, text: str) -> Callable:
                 if s:
                     spans[i] = [{"s": a, "e": b} for a, b in merge([(x["s"], x["e"]) for x in spans[i]] + s)]
                     ids[i] = sorted({*ids[i], *(str(x) for x in more if x is not None)})
+                    if cut and 20 * sum(b - a for a, b in s) < len(w):
+                        short[i] = without_passages(t.as_py(), tables)
             new = {"_hits": pa.array(spans, batch.schema.field("_hits").type), "_items": pa.array(ids, batch.schema.field("_items").type), "_words": pa.array(counts, pa.int64())}
+            if short:
+                new[text] = pa.array([short.get(i, t) for i, t in enumerate(batch.column(text).to_pylist())], batch.schema.field(text).type)
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
 
     return run
@@ -149,9 +192,13 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
+def _unmarked(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<struct<s:int,e:int>>"), "_items": F.array().cast("array<string>")})
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, text: str, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Add ``_words`` (long), ``_hits`` (runs of hit words) and ``_items`` (ids as strings) to ``docs``."""
-    df = docs.withColumns({"_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<struct<s:int,e:int>>"), "_items": F.array().cast("array<string>")})
+    df = _unmarked(docs)
     sc = docs.sparkSession.sparkContext
     blocks = 0
     for block in _blocks(benchmark, id_col, text_col):
@@ -184,3 +231,28 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
     clean = mark(packed, benchmark, "_text", window).where(~is_contaminated())
     return clean.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+
+
+def cut_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """The documents that aren't contaminated, with the runs of hit words cut out of their texts.
+
+    One block of items is searched and cut in one pass. Of several, each is cut in turn after all are
+    marked; as a cut may join words to a passage of an earlier block, the texts are searched again
+    until nothing is hit.
+    """
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    sc = docs.sparkSession.sparkContext
+    head = list(islice(_blocks(benchmark, "item_id", "text"), 2))
+    if len(head) < 2:
+        df = _unmarked(packed)
+        df = df.mapInArrow(_pass(sc.broadcast(head[0] if head else []), window, "_text", cut=True), df.schema).where(~is_contaminated())
+    else:
+        df = mark(packed, benchmark, "_text", window).where(~is_contaminated())
+        while True:
+            for block in _blocks(benchmark, "item_id", "text"):
+                df = materialize(df, "cut_texts")
+                df = df.mapInArrow(_cut(sc.broadcast(block), window), df.schema)
+            df = materialize(mark(materialize(df, "cut_texts").select("_row", "_text"), benchmark, "_text", window), "cut_marked")
+            if not df.where(F.size("_hits") > 0).limit(1).count():
+                break
+    return df.select(*((F.col("_text") if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns))

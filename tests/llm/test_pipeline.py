@@ -35,3 +35,32 @@ def test_stages_against_models(spark, tmp_path):
         assert got == left
         assert k == len(pipeline.STAGES) - 1 or docs.columns == columns
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == left
+
+
+def test_passages_are_cut_from_long_documents(spark, tmp_path):
+    """A long document with a short passage stays without it, also where the cut makes another one."""
+    leak = [f"q{i}" for i in range(40)]
+    w = [f"z{i}" for i in range(500)]
+    texts = [
+        " ".join(w[:300]) + ", " + " ".join(leak[:14]).title() + "! " + " ".join(w[300:]),
+        " ".join([*w[:300], *leak[20:27], *leak[:14], *leak[27:36], *w[300:]]),
+        " ".join(w),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    spark.createDataFrame([(1, " ".join(leak)), (2, "p " * 20)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r for r in pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()}
+    assert got[0].text == " ".join(w[:300]) + ", ! " + " ".join(w[300:])
+    assert got[1].text.split() == w and got[2].text == texts[2]
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_passages_of_several_blocks(spark, monkeypatch):
+    from tarnweave.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "PASS_WORDS", 20)
+    leak, other, w = [f"q{i}" for i in range(20)], [f"p{i}" for i in range(20)], [f"z{i}" for i in range(700)]
+    docs = spark.createDataFrame([(1, " ".join([*w[:300], *leak[:7], *other[:14], *leak[7:16], *w[300:]])), (2, None)], "doc_id long, text string")
+    for items in ((leak, other), (other, leak)):
+        bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string").coalesce(1)
+        got = {r.doc_id: r.text for r in decontaminate.cut_passages(docs, bench).collect()}
+        assert got[1].split() == w and got[2] is None
