@@ -316,9 +316,10 @@ def f_route(spark, sf_dir):
 
 @register()
 def f_upsert(spark, sf_dir):
-    items = frontier.deduplicate(_frontier(spark, sf_dir).where("seq % 2 = 0"), ["host", "subdomain", "uri_key"], ["seq"])
-    refs = _frontier(spark, sf_dir).select("host", "subdomain", "uri_key", "url", (F.col("seq") % 4 != 0).alias("internal"), F.col("depth").alias("source_depth"), F.col("cycle").alias("source_cycle"), "seq")
-    return frontier.upsert(items, refs, _now())
+    """All orders are the frontier; each refers to its own item and to one that isn't known."""
+    items = frontier.deduplicate(_frontier(spark, sf_dir), ["host", "subdomain", "uri_key"], ["seq"])
+    refs = _frontier(spark, sf_dir).select("host", "subdomain", F.explode(F.array("uri_key", F.concat(F.lit("/new"), "uri_key"))).alias("uri_key"), "url", (F.col("seq") % 4 != 0).alias("internal"), F.col("depth").alias("source_depth"), F.col("cycle").alias("source_cycle"), "seq")
+    return frontier.upsert(items, refs.withColumn("url", F.when(F.col("uri_key").startswith("/new"), F.col("uri_key")).otherwise(F.col("url"))), _now())
 
 
 _HEADS = f"(select * from (select *, row_number() over (partition by host, fail_count order by seq) as n from {_FRONTIER_SQL} t where queue = 'failqueue') y where n = 1 and {_DUE})"

@@ -37,3 +37,14 @@ def test_query(spark, con, name):
         assert got == sorted((tuple(norm(x[names.index(c)]) for c in cols) for x in r.fetchall()), key=repr)
     else:
         assert got
+
+
+def test_upsert_knows_all_orders(spark):
+    keys = ["host", "subdomain", "uri_key"]
+    kept = [*keys, "fail_count", "ignore", "last_started"]
+    known = registry.frontier.deduplicate(registry._frontier(spark, SF), keys, ["seq"])
+    got = registry.f_upsert(spark, SF)
+    n = known.count()
+    assert known.select(kept).exceptAll(got.select(kept)).count() == 0
+    new = got.join(known, keys, "left_anti")
+    assert n and new.count() == n and new.where("fail_count = 0 and last_started is null").count() == n
