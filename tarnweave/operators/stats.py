@@ -13,12 +13,14 @@ ALLOC_MOST, ALLOC_GROW = 7_000_000, 6_200_000
 def minute_stats(downloads: DataFrame, ts: str = "ts", size: str = "size", duration: str = "duration", timeout: str = "timeout", host: str = "host") -> DataFrame:
     """Counts, throughput (KB/s) and per-page averages (KB, ms) of 60 second windows.
 
-    ``duration`` is in milliseconds. Works on batch and streaming tables alike.
+    ``duration`` is in milliseconds. Works on batch and streaming tables alike. Hosts are counted
+    exactly; streams, which take no distinct aggregates, gather the hosts of a window.
     """
     done = ~F.col(timeout)
     n = F.count_if(done)
     total, spent = F.coalesce(F.sum(F.when(done, F.col(size))), F.lit(0)), F.coalesce(F.sum(F.when(done, F.col(duration))), F.lit(0))
-    out = downloads.groupBy(F.window(F.col(ts).cast("timestamp"), WINDOW).alias("w")).agg(n.alias("requests"), F.count_if(F.col(timeout)).alias("timeouts"), F.approx_count_distinct(host).alias("domains"), total.alias("_size"), spent.alias("_time"))
+    domains = F.size(F.collect_set(host)).cast("long") if downloads.isStreaming else F.count_distinct(host)
+    out = downloads.groupBy(F.window(F.col(ts).cast("timestamp"), WINDOW).alias("w")).agg(n.alias("requests"), F.count_if(F.col(timeout)).alias("timeouts"), domains.alias("domains"), total.alias("_size"), spent.alias("_time"))
     per = lambda x: F.when(F.col("requests") > 0, x).otherwise(F.lit(0)).cast("long")
     return out.select(F.col("w.start").alias("date"), "requests", "timeouts", "domains", (F.col("_size") / 60 / 1024).cast("long").alias("download_speed"), per(F.col("_time") / F.col("requests")).alias("download_time"), per(F.col("_size") / F.col("requests") / 1024).alias("download_size"))
 

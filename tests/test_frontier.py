@@ -118,6 +118,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(spark.table("minutes").collect()) == sorted(stats.minute_stats(df).collect())
 
 
+def test_minute_stats_count_hosts_exactly(spark, tmp_path):
+    hosts = {0: 3000, 1: 1777, 2: 950}
+    rows = [(dt.datetime(2024, 1, 1, 0, m, i % 60), 1, 1, i % 5 == 0, f"h{i}") for m, n in hosts.items() for i in [*range(n), *range(n // 2)]]
+    df = spark.createDataFrame([*rows, (dt.datetime(2024, 1, 1, 0, 3), 1, 1, False, None)], "ts timestamp, size long, duration long, timeout boolean, host string")
+    assert [r.domains for r in stats.minute_stats(df).orderBy("date").collect()] == [*hosts.values(), 0]
+    df.write.parquet(str(tmp_path / "in"))
+    stream = stats_stream.downloads_stream(spark, str(tmp_path / "in"), df.schema)
+    stats_stream.run_to_table(stats_stream.stream_minute_stats(stream, late="1 day"), "hosts", str(tmp_path / "ck"), "complete")
+    assert [r.domains for r in spark.table("hosts").orderBy("date").collect()] == [*hosts.values(), 0]
+
+
 def test_frontier_stream_equals_batch(spark, tmp_path):
     rows = [("/" + str(i % 9), i % 4 != 0, i % 5, i % 2) for i in range(60)]
     df = refs(spark, rows)
