@@ -8,7 +8,8 @@ Every window of ``width`` bytes has an anchor, its least ``gram``-byte substring
 windows have equal anchors at equal places, and the windows of a text fall into runs that share
 an anchor (about 30 windows each). Runs are dealt out by hash, once per block of documents:
 
-1. A run whose bytes occur earlier (prefix polynomial hash, length and anchor) is repeated whole.
+1. A run whose bytes occur earlier (two independent 64-bit polynomial hashes, length and
+   anchor) is repeated whole.
 2. Among first occurrences, those whose anchor also stands in a different run may be repeated in
    part. Their bytes meet by anchor: the windows' suffixes are sorted by a mergesort whose
    comparisons find the common extension by binary search over prefix polynomial hashes. Equal
@@ -80,14 +81,14 @@ class Block:
         self.ends = np.cumsum(self.lens)
         if not with_runs:
             return
-        self.first, self.last, self.anchor, self.run, self.place = runs(self.data, self.ends, width, gram)
+        self.first, self.last, self.anchor, self.run, self.place, self.check = runs(self.data, self.ends, width, gram)
         doc = np.searchsorted(self.ends, self.first, "right")
         self.doc_id, self.start = self.ids[doc], self.first - (self.ends[doc] - self.lens[doc])
         # distinct runs in order of their hash, with their earliest place; then distinct anchors
-        order = np.lexsort((self.start, self.doc_id, self.run))
-        ordered = self.run[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(order) else np.empty(0, bool)
-        self.run_keys, head = ordered[new], order[new]
+        order = np.lexsort((self.start, self.doc_id, self.check, self.run))
+        ordered, check = self.run[order], self.check[order]
+        new = np.concatenate(([True], (ordered[1:] != ordered[:-1]) | (check[1:] != check[:-1]))) if len(order) else np.empty(0, bool)
+        self.run_keys, self.run_checks, head = ordered[new], check[new], order[new]
         self.run_of = np.empty(len(order), np.int64)
         self.run_of[order] = np.cumsum(new) - 1
         self.run_id, self.run_start = self.doc_id[head], self.start[head]
@@ -104,7 +105,7 @@ class Block:
         """Per anchor: least and greatest of 32 bits of its runs, and how many different runs."""
         order = np.argsort(self.anchor_of, kind="stable")
         at = np.flatnonzero(np.concatenate(([True], np.diff(self.anchor_of[order]) != 0))) if len(order) else np.empty(0, np.int64)
-        bits = (self.run_keys >> np.uint64(32)).astype(np.uint32)[order]
+        bits = ((self.run_keys ^ self.run_checks) >> np.uint64(32)).astype(np.uint32)[order]
         if not len(order):
             return bits, bits, np.empty(0, np.int64)
         return np.minimum.reduceat(bits, at), np.maximum.reduceat(bits, at), np.diff(np.append(at, len(order)))
@@ -117,7 +118,7 @@ def _deal(bits: int, width: int, gram: int) -> Callable:
                 b = Block(raw.as_py(), width, gram)
                 low, high, count = b.anchors()
                 rows = []
-                for kind, keys, more in ((RUNS, b.run_keys, (b.run_id, b.run_start)), (ANCHORS, b.anchor_keys, (low, high ^ low, count))):
+                for kind, keys, more in ((RUNS, b.run_keys, (b.run_id, b.run_start, b.run_checks)), (ANCHORS, b.anchor_keys, (low, high ^ low, count))):
                     cut = _bounds(keys, bits)
                     if kind == ANCHORS:  # 32 more bits tell them apart within a part; a mix-up only costs a sort
                         keys = (keys >> np.uint64(8)).astype(np.uint32)
@@ -142,8 +143,8 @@ def _codes(hot: int) -> Callable:
                 size = [len(g[0]) for g in got]
                 keys, *more = (np.concatenate([g[i] for g in got]) for i in range(len(got[0])))
                 if kind == RUNS:
-                    order = np.lexsort((more[1], more[0], keys))
-                    new = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
+                    order = np.lexsort((more[1], more[0], more[2], keys))
+                    new = np.concatenate(([True], (keys[order][1:] != keys[order][:-1]) | (more[2][order][1:] != more[2][order][:-1])))
                     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
                     code = np.empty(len(keys), np.uint8)
                     code[order] = (more[0][order] > more[0][head]) | ((more[0][order] == more[0][head]) & (more[1][order] > more[1][head]))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at a time.
 CHUNK = 1 << 17
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A second hash, with a base and a table of its own.
+_BASE2 = 0xD1342543DE82EF95
+_TABLE2 = np.random.Generator(np.random.PCG64(77160493)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -35,11 +37,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class PrefixHash:
     """Polynomial hash of any substring in constant time: (H[b] - H[a]) * base^-a, modulo 2^64."""
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, base: int = _BASE, table: np.ndarray = _TABLE) -> None:
         n = len(data)
-        self.inverse = _powers_of(_INVERSE, n + 1)
+        self.inverse = _powers_of(pow(base, -1, 1 << 64), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[data] * _powers_of(_BASE, n + 1)[:n], out=self.sums[1:])
+        np.cumsum(table[data] * _powers_of(base, n + 1)[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return (self.sums[stop] - self.sums[start]) * self.inverse[start]
@@ -61,8 +63,8 @@ def runs(data: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.
     string by hash. Equal windows have equal anchors at equal places.
 
     ``ends``: where each document ends. Returns arrays over runs: first window, last window (both
-    inclusive), hash of the anchor, hash of the run (its anchor's place, length and bytes), and the
-    distance from the first window to the anchor.
+    inclusive), hash of the anchor, hash of the run (its anchor's place, length and bytes), the
+    distance from the first window to the anchor, and a second, independent hash of the run's bytes.
     """
     found: list[tuple[np.ndarray, ...]] = []
     n = len(data)
@@ -87,9 +89,9 @@ def runs(data: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.
         with np.errstate(over="ignore"):
             run = mix(body + mix((b - a).astype(np.uint64) * np.uint64(1 << 32) + (anchor[a] - a).astype(np.uint64)))
         # anchors are least hashes and so lie low; mixed again they spread evenly
-        found.append((a + lo, b + lo, mix(grams[anchor[a]] ^ np.uint64(_BASE)), run, anchor[a] - a))
+        found.append((a + lo, b + lo, mix(grams[anchor[a]] ^ np.uint64(_BASE)), run, anchor[a] - a, mix(PrefixHash(part, _BASE2, _TABLE2).of(a, b + width))))
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 

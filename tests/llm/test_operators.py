@@ -384,3 +384,18 @@ def test_em_learns_reliability():
     counts = [(3, 1, 1, -1, 2, True, 900), (3, 1, 0, -1, 2, True, 100), (3, -1, 1, -1, 2, False, 50), (3, -1, 0, -1, 2, False, 50)]
     model = pii.fit(counts)
     assert model.reliability[3, "known"] > 0.8 and model.odds[3, "known", 1] > model.odds[3, "known", 0]
+
+
+def test_whole_runs_are_told_apart_by_a_second_hash(spark, monkeypatch):
+    """Even where the first hash mixes up all runs, no unique bytes are removed."""
+    def mixed_up(*args):
+        first, last, anchor, run, *more = suffix_hash.runs(*args)
+        return first, last, anchor, run & np.uint64(0), *more
+
+    monkeypatch.setattr(suffix_dedup, "runs", mixed_up)
+    rng = np.random.default_rng(5)
+    a, b = (bytes(rng.integers(97, 123, 900, dtype=np.uint8)) for _ in range(2))
+    blocks = [suffix_dedup.Block(lm_scoring._put(np.array([i]), np.array([len(t)]), t), 100, 32) for i, t in enumerate((a, b, a + b))]
+    assert not blocks[0].later().any() and not blocks[1].later().any()
+    twice = suffix_dedup.Block(lm_scoring._put(np.array([1, 2]), np.array([900, 900]), a + a), 100, 32)
+    assert (twice.later() == (twice.doc_id == 2)).all()
