@@ -9,16 +9,28 @@ Chosen paths: at every node of a random tree a set picks each of its shingles wi
 per pick. Linked sets share at least one pick per level on average, others fewer and fewer. One
 run of ``DEPTH`` levels brings a linked pair together with the probability ``meeting``; the
 number of runs follows from the target recall. Sets in one bucket of at most ``BUCKET`` sets are
-compared by brute force, first on sketches; larger buckets are split by one more
-level (``REPEATS`` picks each) and what is still large is compared block against block.
+compared by brute force, first on sketches.
 
 Few shingles make minwise bits noisy, so sets of fewer than ``PARITY_BITS`` shingles are told apart
 by an odd sketch instead: shared shingles cancel out in the XOR of two, so it has at most as many
 ones as there are shingles in one set only, and rejects no pair that reaches the threshold.
 
-Sketch matches only propose groups. All sets of a proposed group meet once in a task and every
-pair of them is compared exactly on the shingles, blockwise for large groups; so links are
-counted, never listed: memory and rows stay linear in groups of near copies.
+Larger buckets hold near copies, or sets that share a passage. They are parted by size (each set goes
+to the part of its size and to the next, so linked sets meet) and get a centre, the majority sketch of
+some members. Any centre will do: distances between sketches obey the triangle inequality, so
+two linked sets are both within ``STAR`` of it, and then belong to one proposed group, or both
+further than ``TIGHT``. The latter are split by one more level (``REPEATS`` picks each), up to
+``DEEPER`` times; only what is then left, neither near a centre nor split, is compared block against
+block.
+
+Sketch matches only propose groups; exact comparison of whole sets decides. All sets of a group of at
+most ``BLOCK_SETS`` meet in a task. A larger group gets a centre too: the shingles that most of
+some members have. The Jaccard distance is a metric, so with the exact distances to the centre every
+pair whose sum is at most the allowed distance is linked, and every pair whose difference is larger
+is not; these are counted from a histogram of the distances. Only the pairs between are compared,
+in blocks of alike distance. So links are counted, never listed, and a group of n near copies within
+half the allowed distance of its centre costs n steps; groups that are spread wider than that cost
+more, up to all pairs between blocks.
 
 Sets that are equal (exact copies above all) are one node throughout and expand to rows only at
 the end. Shingles are 64-bit hashes, sets are told apart by 64 bits of a 128-bit digest.
@@ -36,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, in_key_order, materialize, runs_of_key
@@ -47,7 +59,8 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 DEPTH = 2
 REPEATS = 2
-BUCKET = 4096
+DEEPER = 2
+BUCKET = 2048
 #: Sets and shingles of a proposed group that one task compares; larger groups go in blocks.
 BLOCK_SETS = 1024
 BLOCK_TOKENS = 1_500_000
@@ -55,6 +68,15 @@ BLOCK_TOKENS = 1_500_000
 BROADCAST_ROWS = 1_000_000
 SKETCH_BITS = 256
 PARITY_BITS = 512
+#: Members that vote on a centre, about.
+VOTERS = 32
+#: Distances from the centre of a bucket, in parts of the set's size (odd sketch) and in bits of 256
+#: (minwise sketch, parts of sizes from ``MINWISE_FROM`` on). Two linked sets are both within STAR or
+#: both beyond TIGHT: 0.8 * 0.39 - 0.2 = 0.112; 28 bits and the 55 that linked sets differ by make 83.
+TIGHT, STAR = (0.112, 28), (0.39, 83)
+MINWISE_FROM = 300
+#: Distances from the centre of a group count in millionths, rounded up.
+UNIT = 1_000_000
 
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -256,7 +278,46 @@ def _edges(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())], names=["a", "b"])
 
 
-SETS = "sid long, root long, a int, b int, side int, n int, tokens binary"
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, k, majority sketch) of each bucket's voters."""
+    for group in runs_of_key(batches, "node"):
+        bits = np.unpackbits(np.stack([np.frombuffer(x.as_py(), np.uint8) for x in group.column("sketch")]), axis=1)
+        centre = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes()
+        yield pa.RecordBatch.from_arrays([group.column("node").slice(0, 1).combine_chunks(), group.column("k").slice(0, 1).combine_chunks(), pa.array([centre], pa.binary())], names=["node", "k", "centre"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, sid, k, star, rest): whether a member is within STAR of its bucket's centre, and beyond TIGHT."""
+    split = SKETCH_BITS // 64
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sketch", "centre"))
+        apart = np.bitwise_count(a ^ b)
+        n = batch.column("n").to_numpy().astype(np.float64)
+        minwise = batch.column("minwise").to_numpy(zero_copy_only=False)
+        d = np.where(minwise, apart[:, :split].sum(axis=1), apart[:, split:].sum(axis=1))
+        star = d <= np.where(minwise, STAR[1], STAR[0] * n)
+        rest = d > np.where(minwise, TIGHT[1], TIGHT[0] * n)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("sid"), batch.column("k"), pa.array(star), pa.array(rest)], names=["node", "sid", "k", "star", "rest"])
+
+
+def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, k, shingles that more than half of the voters have) of each group."""
+    for group in runs_of_key(batches, "root"):
+        tokens, count = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group.column("tokens")]), return_counts=True)
+        centre = tokens[2 * count > group.num_rows].tobytes()
+        yield pa.RecordBatch.from_arrays([group.column("root").slice(0, 1).combine_chunks(), group.column("k").slice(0, 1).combine_chunks(), pa.array([centre], pa.binary())], names=["root", "k", "centre"])
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, root, k, n, q): each set's Jaccard distance from the centre of its group, in units rounded up."""
+    for batch in batches:
+        q = []
+        for t, c in zip(batch.column("tokens"), batch.column("centre"), strict=True):
+            a, b = np.frombuffer(t.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            union = len(a) + len(b) - both
+            q.append(-(-(union - both) * UNIT // union) if union else 0)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "root", "k", "n")), pa.array(q, pa.int32())], names=["sid", "root", "k", "n", "q"])
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +332,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raw.append(s.tobytes())
                     n.append(len(s))
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("sid").take(at), part.column("root").take(at), part.column("k").take(at), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], names=["sid", "root", "k", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("sid", "root", "k", "size")), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], names=["sid", "root", "k", "size", "n", "tokens"])
 
 
 def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
@@ -296,8 +357,16 @@ def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _certain(threshold: float) -> int:
+    """Pairs whose distances from a centre add up to no more than this are linked."""
+    return math.floor((1 - threshold) * UNIT * (1 - 1e-9))
+
+
 def _verify(threshold: float) -> Callable:
-    """Exact comparison of every pair of a group or of two blocks of it: (sid, links, peer)."""
+    """Exact comparison of the pairs of a group or of two blocks of it: (sid, links, peer).
+
+    ``q``: distances from the group's centre; pairs that are linked by them are left out. Null: none known.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -312,6 +381,9 @@ def _verify(threshold: float) -> Callable:
             np.fill_diagonal(linked, False)
             if side.any():
                 linked &= side[:, None] != side[None, :]
+            q = group.column("q").combine_chunks().fill_null(UNIT).to_numpy()[at]
+            if (q < UNIT).any():
+                linked &= q[:, None] + q[None, :] > _certain(threshold)
             links = linked.sum(axis=1)
             lab = labels(linked)
             out.append((sid, links, sid[lab]))
@@ -340,6 +412,69 @@ def _with_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.select("d.text", *(f"i.{c}" for c in ids.columns if c not in ("doc_id", "h")))
 
 
+def _around_centres(crowd: DataFrame, sets: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Of crowded buckets (node, sid): star edges (a, b) of the members near a centre, and the members
+    (node, sid) that may be linked beyond that. Buckets are parted by size first.
+    """
+    c = lambda x: F.pmod(F.xxhash64("sid"), x).cast("int")
+    step = F.floor(F.log("n") / math.log(1.25)).cast("int")
+    rows = crowd.join(sets.select("sid", "n", "sketch"), "sid").withColumn("_p", F.explode(F.array(step, step + 1)))
+    rows = rows.select(F.xxhash64("node", "_p").alias("node"), "sid", "n", "sketch", (F.pow(F.lit(1.25), F.col("_p") - 1) >= MINWISE_FROM).alias("minwise"))
+    rows = materialize(rows, "jaccard_crowd")
+    size = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").withColumn("k", F.ceil(F.col("size") / bucket).cast("int"))
+    rows = materialize(rows.join(size, "node"), "jaccard_crowd")
+    few, rows = rows.where("k = 1").select("node", "sid"), rows.where("k > 1")
+    voters = rows.where(F.pmod(F.xxhash64("sid", "node"), F.greatest(F.lit(1), (F.col("size") / VOTERS).cast("long"))) == 0).select("node", "k", "sketch")
+    centres = in_key_order(voters, "node", _centres, "node long, k int, centre binary")
+    # as many copies of a centre as its members fill buckets, so that no key is hot
+    centres = centres.select("node", "centre", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
+    met = rows.withColumn("c", c(F.col("k"))).join(centres, ["node", "c"], "left").select("node", "sid", "n", "k", "minwise", "sketch", F.coalesce("centre", "sketch").alias("centre"))
+    placed = materialize(met.mapInArrow(_placed, "node long, sid long, k int, star boolean, rest boolean"), "jaccard_near")
+    heads = placed.where("star").groupBy("node").agg(F.min("sid").alias("b"), F.max("k").alias("k"))
+    heads = heads.select("node", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
+    star = placed.where("star").select("node", "sid", c(F.col("k")).alias("c")).join(heads, ["node", "c"])
+    return star.where("sid <> b").select(F.col("sid").alias("a"), "b").distinct(), placed.where("rest").select("node", "sid").unionByName(few)
+
+
+def _from_centres(own: DataFrame) -> DataFrame:
+    """(sid, root, k, n, q) of the sets of wide groups (sid, root, k, size, n, tokens)."""
+    voters = own.where(F.pmod(F.xxhash64("sid"), F.greatest(F.lit(1), (F.col("size") / VOTERS).cast("long"))) == 0).select("root", "k", "tokens")
+    centres = in_key_order(voters, "root", _majority, "root long, k int, centre binary")
+    centres = centres.select("root", "centre", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
+    met = own.withColumn("c", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")).join(centres, ["root", "c"], "left")
+    return met.select("sid", "root", "k", "n", "tokens", F.coalesce("centre", "tokens").alias("centre")).mapInArrow(_distances, "sid long, root long, k int, n int, q int")
+
+
+def _by_distance(placed: DataFrame, allowed: int) -> tuple[DataFrame, DataFrame]:
+    """Links that follow from the distances, as (sid, links, peer), and what is to be compared:
+    (task, sid, n, side, q). A group has at most ``UNIT`` different distances.
+    """
+    cells = materialize(placed.groupBy("root", "q").agg(F.count("*").alias("m"), F.min("sid").alias("low"), F.max("k").alias("k")), "jaccard_cells")
+    # for each distance q the sets up to allowed - q: one running sum over cells and questions
+    points = cells.select("root", F.col("q").alias("at"), "m", F.lit(0).alias("asks"), "q").unionByName(cells.select("root", (F.lit(allowed) - F.col("q")).alias("at"), F.lit(0).cast("long").alias("m"), F.lit(1).alias("asks"), "q"))
+    upto = Window.partitionBy("root").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    links = points.withColumn("links", F.sum("m").over(upto)).where("asks = 1").select("root", "q", (F.col("links") - (2 * F.col("q") <= allowed).cast("int")).alias("links"))
+    group = placed.groupBy("root").agg(F.min(F.struct("q", "sid")).alias("near"), F.max("q").alias("far"), F.count("*").alias("all"), F.max("k").alias("k"))
+    # participants, in order of distance, in blocks of about all / k sets
+    order = Window.partitionBy("root").orderBy("q").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.drop("k").join(group, "root").withColumn("open", F.col("q") + F.col("far") > allowed)
+    cells = cells.join(links, ["root", "q"]).withColumn("before", F.coalesce(F.sum(F.when(F.col("open"), F.col("m")).otherwise(0)).over(order), F.lit(0)))
+    cells = materialize(cells, "jaccard_cells")
+    # one row per cell on this side: a cell with very many sets is split by the adaptive skew join
+    spread = placed.select("sid", "root", "q", "n").join(cells, ["root", "q"])
+    share = F.greatest(F.lit(1), F.ceil(F.col("all") / F.col("k")))
+    rows = spread.select("sid", "root", "q", "n", "links", "near", "open", F.floor((F.col("before") + F.pmod(F.xxhash64("sid", F.lit(1)), F.col("m"))) / share).alias("block"))
+    rows = materialize(rows, "jaccard_dealt")
+    certain = rows.where("links > 0").select("sid", "links", F.when(F.col("q") + F.col("near.q") <= allowed, F.col("near.sid")).otherwise(F.col("sid")).alias("peer"))
+    open_ = rows.where("open").select("sid", "root", "q", "n", "block")
+    blocks = open_.groupBy("root", "block").agg(F.min("q").alias("low"), F.max("q").alias("high"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    meet = x.join(y, (F.col("x.root") == F.col("y.root")) & (F.col("x.block") <= F.col("y.block"))).where((F.col("x.high") + F.col("y.high") > allowed) & (F.col("y.low") - F.col("x.high") <= allowed + 4))
+    meet = meet.select(F.col("x.root").alias("root"), F.col("x.block").alias("a"), F.col("y.block").alias("b"))
+    sides = meet.select("root", F.col("a").alias("block"), "a", "b", F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("side")).unionByName(meet.where("a < b").select("root", F.col("b").alias("block"), "a", "b", F.lit(2).alias("side")))
+    return certain, open_.join(sides, ["root", "block"]).select(F.xxhash64("root", "a", "b").alias("task"), "sid", "n", "side", "q")
+
+
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, block_sets: int = BLOCK_SETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, h (hash of the text), class_id (smallest doc_id of its class of
     linked documents), class_h (that document's h), n_links (different sets linked to its own),
@@ -356,37 +491,53 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         return pairs.join(crowd, "node")
 
     members = materialize(live(sets.select("sid", F.explode("nodes").alias("node"))), "jaccard_members")
-    large = members.where(F.col("size") > bucket)
-    small = members.where(F.col("size") <= bucket)
-    blocks = None
-    if large.limit(1).count():
-        parents = large.groupBy("sid").agg(F.collect_set("node").alias("parents"))
+    small = members.where(F.col("size") <= bucket).select("node", "sid")
+    crowd = members.where(F.col("size") > bucket).select("node", "sid")
+    stars: list[DataFrame] = []
+    for level in range(DEEPER + 1):
+        if not crowd.limit(1).count():
+            break
+        star, rest = _around_centres(crowd, sets, bucket)
+        stars.append(star)
+        rest = materialize(live(rest), "jaccard_rest")
+        small = small.unionByName(rest.where(F.col("size") <= bucket).select("node", "sid"))
+        rest = rest.where(F.col("size") > bucket)
+        if level == DEEPER:
+            # neither near a centre nor split: block against block
+            rest = rest.withColumn("k", F.ceil(F.col("size") / (bucket // 2)).cast("int")).withColumn("c", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
+            small = small.unionByName(rest.select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("d"), "*").select(F.xxhash64("node", F.least("c", "d"), F.greatest("c", "d")).alias("node"), "sid"))
+            break
+        if not rest.limit(1).count():
+            break
+        parents = rest.groupBy("sid").agg(F.collect_set("node").alias("parents"))
         wanted = sets.select("sid", "rep.doc_id", "rep.h").join(parents, "sid")
         deeper = _with_texts(slim, materialize(wanted, "jaccard_parents")).select("sid", "parents", "text").mapInArrow(_deeper(threshold, REPEATS), "sid long, node long").distinct()
         deeper = materialize(live(deeper), "jaccard_members")
-        small = small.unionByName(deeper.where(F.col("size") <= bucket))
-        # what a further level didn't split is alike throughout: compare it block against block
-        dense = deeper.where(F.col("size") > bucket).withColumn("k", F.ceil(F.col("size") / (bucket // 2)).cast("int")).withColumn("c", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
-        blocks = dense.select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("d"), "*").select(F.xxhash64("node", F.least("c", "d"), F.greatest("c", "d")).alias("node"), "sid")
-    bucketed = small.select("node", "sid")
-    if blocks is not None:
-        bucketed = bucketed.unionByName(blocks)
-    bucketed = bucketed.join(sets.select("sid", "n", "sketch"), "sid")
+        small = small.unionByName(deeper.where(F.col("size") <= bucket).select("node", "sid"))
+        crowd = deeper.where(F.col("size") > bucket).select("node", "sid")
+    bucketed = small.join(sets.select("sid", "n", "sketch"), "sid")
     edges = in_key_order(bucketed, "node", _propose(threshold), "a long, b long").distinct()
+    for star in stars:
+        edges = edges.unionByName(star)
     groups = components(edges, "a", "b")
     groups = materialize(groups.select(F.col("node").alias("sid"), "root"), "jaccard_groups")
 
     sized = groups.join(sets.select("sid", "n", "rep.doc_id", "rep.h"), "sid")
-    need = sized.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("k"))
+    need = sized.groupBy("root").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("k"))
     sized = materialize(sized.join(need, "root"), "jaccard_groups")
-    tokens = _with_texts(slim, sized.select("sid", "root", "k", "doc_id", "h")).select("sid", "root", "k", "text").mapInArrow(_sets_of, "sid long, root long, k int, n int, tokens binary")
-    # block c of a group of k blocks meets every block d; within a block pair only pairs across count
-    c = F.when(F.col("k") > 1, F.pmod(F.xxhash64("sid"), F.col("k"))).otherwise(0).cast("int")
-    tokens = tokens.withColumn("c", c).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("d"))
-    tokens = tokens.select(F.xxhash64("root", F.least("c", "d"), F.greatest("c", "d")).alias("task"), "sid", "n", F.when(F.col("c") == F.col("d"), 0).when(F.col("c") < F.col("d"), 1).otherwise(2).alias("side"), "tokens")
-    found = materialize(in_key_order(tokens, "task", _verify(threshold), "sid long, links long, peer long"), "jaccard_links")
+    fields = "sid long, root long, k int, size long, n int, tokens binary"
+    tokens = _with_texts(slim, sized.where("k = 1").select("sid", "root", "k", "size", "doc_id", "h")).mapInArrow(_sets_of, fields)
+    tokens = tokens.select(F.col("root").alias("task"), "sid", "n", F.lit(0).alias("side"), F.lit(None).cast("int").alias("q"), "tokens")
+    wide = sized.where("k > 1").limit(1).count() > 0
+    if wide:
+        own = materialize(_with_texts(slim, sized.where("k > 1").select("sid", "root", "k", "size", "doc_id", "h")).mapInArrow(_sets_of, fields), "jaccard_wide")
+        placed = materialize(_from_centres(own), "jaccard_placed")
+        certain, uncertain = _by_distance(placed, _certain(threshold))
+        tokens = tokens.unionByName(uncertain.join(own.select("sid", "tokens"), "sid").select("task", "sid", "n", "side", "q", "tokens"))
+    found = in_key_order(tokens, "task", _verify(threshold), "sid long, links long, peer long")
+    found = materialize(found.unionByName(certain) if wide else found, "jaccard_links")
     counted = found.groupBy("sid").agg(F.sum("links").alias("n_links"), F.min("peer").alias("peer")).where("n_links > 0")
-    if sized.where("k > 1").limit(1).count():
+    if wide:
         roots = components(found.where("links > 0"), "sid", "peer").withColumnRenamed("node", "sid")
         counted = counted.join(roots, "sid").select("sid", "n_links", "root")
     else:

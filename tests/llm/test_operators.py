@@ -29,7 +29,7 @@ def empty(spark):
 # ---- n-gram Jaccard join
 
 
-@pytest.mark.parametrize("more", [{}, {"bucket": 3, "block_sets": 2}])
+@pytest.mark.parametrize("more", [{}, {"bucket": 3, "block_sets": 2}, {"bucket": 2, "block_sets": 7}])
 def test_jaccard_links(docs, rows, more):
     expect = models.near_classes(rows)
     got = jaccard_join.jaccard_classes(docs, **more).collect()
@@ -37,6 +37,46 @@ def test_jaccard_links(docs, rows, more):
     assert {(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got} == {(i, *expect[i]) for i, _ in rows}
 
 
+@pytest.mark.parametrize("edits", [3, 9])
+def test_jaccard_groups_of_near_copies(spark, edits):
+    """Families around a base, tight and wide, beside texts that share a passage, in crowded buckets and blocks."""
+    rnd = random.Random(edits)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rnd.randrange(edits)):
+            w[rnd.randrange(160)] = f"e{rnd.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join([*base[:90], *(f"u{i}x{j}" for j in range(60))])) for i in range(80)]
+    expect = models.near_classes(rows)
+    got = jaccard_join.jaccard_classes(models.frame(spark, rows), bucket=16, block_sets=24).collect()
+    assert {(r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got} == {(i, *expect[i]) for i, _ in rows}
+
+
+def test_recall_of_the_whole_join(spark):
+    """Pairs of similarity 0.8 to 0.83, of 30 to 700 words: all but a few in ten thousand are found."""
+    rnd = random.Random(3)
+    rows, expect = [], {}
+    while len(rows) < 1600:
+        n = rnd.choice((30, 60, 120, 250, 700))
+        k = len(rows)
+        w = [f"{k}w{j}" for j in range(n)]
+        v = list(w)
+        gone: set[int] = set()
+        while True:  # as many changed words as the threshold allows
+            at = rnd.randrange(n)
+            more = gone | {x for x in range(at - 4, at + 1) if 0 <= x <= n - 5}
+            m = n - 4
+            if (m - len(more)) * 1.8 < 0.8 * 2 * m:
+                break
+            gone, v[at] = more, f"{k}v{at}"
+        if gone:
+            rows += [(k, " ".join(w)), (k + 1, " ".join(v))]
+    got = jaccard_join.jaccard_classes(models.frame(spark, rows)).where("n_links = 1").count()
+    assert got >= len(rows) - 4
+
+
 def test_jaccard_keeps_one(docs, rows, empty):
     kept = jaccard_join.keep_one_of_each(docs)
     assert kept.columns == docs.columns
