@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,8 @@ from pyspark.sql import types as T
 #: The characters of ``[\x20\x09-\x0D]`` and the ASCII alphabet.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: Values of arrays below this many bytes aren't compressed.
+SMALL = 200
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -67,6 +72,24 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def put_arrays(*arrays, level: int = 1) -> bytes:
+    """Arrays, bytes or Nones as one value: a count, a kind and size of each, then their bytes; compressed unless small."""
+    raw = [b"" if x is None else x if isinstance(x, bytes) else x.tobytes() for x in arrays]
+    kinds = ["no" if x is None else "by" if isinstance(x, bytes) else x.dtype.str[1:] for x in arrays]
+    whole = b"".join([struct.pack("<B", len(raw)), *(struct.pack("<2sQ", k.encode(), len(r)) for k, r in zip(kinds, raw, strict=True)), *raw])
+    return b"\0" + whole if len(whole) < SMALL else b"\1" + zstandard.ZstdCompressor(level).compress(whole)
+
+
+def get_arrays(raw: bytes) -> tuple:
+    whole = raw[1:] if raw[0] == 0 else zstandard.ZstdDecompressor().decompress(raw[1:])
+    heads = [struct.unpack_from("<2sQ", whole, 1 + 10 * i) for i in range(whole[0])]
+    out, at = [], 1 + 10 * len(heads)
+    for kind, size in heads:
+        out.append(None if kind == b"no" else whole[at : at + size] if kind == b"by" else np.frombuffer(whole, kind.decode(), size // int(kind[1:]), at))
+        at += size
+    return tuple(out)
+
+
 def runs_of_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of equal ``key`` out of a stream that is sorted by it; a run may span batches."""
     held: list[pa.RecordBatch] = []

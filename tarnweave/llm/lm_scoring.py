@@ -20,19 +20,17 @@ uniform one is 0. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_key_order, materialize, runs_of_key
+from .common import get_arrays, in_key_order, materialize, put_arrays, runs_of_key
 from .packing import slices
 
 BLOCK_BYTES = 6_000_000
@@ -45,14 +43,6 @@ _END = np.uint64(0x5DEECE66D1234567)
 _NO_ID = -(1 << 63)
 
 
-def _put(*arrays, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level).compress(pickle.dumps(arrays, 5))
-
-
-def _get(raw: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -121,7 +111,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 vocab, index, lens = tokenize(rows.column("text"))
                 ids = pc.fill_null(rows.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False)
                 held = rows.column("held").to_numpy(zero_copy_only=False)
-                data = _put(ids, held, lens.astype(np.int32), vocab, index)
+                data = put_arrays(ids, held, lens.astype(np.int32), vocab, index)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([which]), pa.array([len(index)], pa.int64()), pa.array([data], pa.binary())], names=[c.split()[0] for c in BLOCKS.split(", ")])
                 block += 1
 
@@ -140,11 +130,11 @@ def _deal(bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, fold, data in zip(*(batch.column(c).to_pylist() for c in ("block", "fold", "data")), strict=True):
-                b = Block(*_get(data))
+                b = Block(*get_arrays(data))
                 for order, keys, counts in zip((1, 2), (b.unigrams, b.bigrams), b.counts(), strict=True):
                     cut = _bounds(keys, bits)
                     parts = [p for p in range(1 << bits) if cut[p + 1] > cut[p]]
-                    cols = [parts, [block] * len(parts), [order] * len(parts), [fold] * len(parts), [keys[cut[p] : cut[p + 1]].tobytes() for p in parts], [_put(counts[cut[p] : cut[p + 1]]) for p in parts]]
+                    cols = [parts, [block] * len(parts), [order] * len(parts), [fold] * len(parts), [keys[cut[p] : cut[p + 1]].tobytes() for p in parts], [put_arrays(counts[cut[p] : cut[p + 1]]) for p in parts]]
                     types = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in DEALT.split(", ")])
 
@@ -171,7 +161,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not rows:
                 continue
             keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-            counts = [_get(r["counts"])[0] for r in rows]
+            counts = [get_arrays(r["counts"])[0] for r in rows]
             distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
             size = np.array([len(k) for k in keys])
             n = np.concatenate(counts).astype(np.float64)
@@ -181,7 +171,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if order == 1:
                 sums = [int(total.sum()), int((total > 0).sum()), int(rest.sum()), int((rest > 0).sum())]
             ends = np.cumsum(size)
-            out = [(r["block"], order, part, r["fold"], None, None, None, None, _put(total[at[e - s : e]], rest[at[e - s : e]] if r["fold"] else None)) for r, s, e in zip(rows, size, ends, strict=True)]
+            out = [(r["block"], order, part, r["fold"], None, None, None, None, put_arrays(total[at[e - s : e]], rest[at[e - s : e]] if r["fold"] else None)) for r, s, e in zip(rows, size, ends, strict=True)]
             for lo in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 64], strict=True), types, strict=True)], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((-1, 0, part, False, *sums, None), types, strict=True)], names=names)
@@ -194,9 +184,9 @@ def _with_totals(batches: Iterator[pa.RecordBatch], rest: bool) -> Iterator[tupl
         found: dict[int, list[np.ndarray]] = {1: [], 2: []}
         for order, data in zip(group.column("ord").to_pylist(), group.column("data"), strict=True):
             if order == 0:
-                block = Block(*_get(data.as_py()))
+                block = Block(*get_arrays(data.as_py()))
             else:
-                found[order].append(_get(data.as_py())[1 if rest else 0])
+                found[order].append(get_arrays(data.as_py())[1 if rest else 0])
         if block is not None and len(block.lens):
             yield block, np.concatenate(found[1]), np.concatenate(found[2])
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes hashed at a time.
 CHUNK = 1 << 17
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A second hash, with a base and a table of its own.
-_BASE2 = 0xD1342543DE82EF95
-_TABLE2 = np.random.Generator(np.random.PCG64(77160493)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The two primes below 2^31 and the bases of the hash of whole runs.
+PRIMES = (2147483647, 2147483629)
+_PRIME_TABLES = [t % np.uint64(p - 1) + np.uint64(1) for t, p in zip((_TABLE, _TABLE >> np.uint64(20)), PRIMES, strict=True)]
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -28,6 +27,11 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def base_of(seed: int) -> int:
+    """The odd base of the hashes of one attempt."""
+    return ((seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) | 1
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -37,7 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class PrefixHash:
     """Polynomial hash of any substring in constant time: (H[b] - H[a]) * base^-a, modulo 2^64."""
 
-    def __init__(self, data: np.ndarray, base: int = _BASE, table: np.ndarray = _TABLE) -> None:
+    def __init__(self, data: np.ndarray, base: int = base_of(0), table: np.ndarray = _TABLE) -> None:
         n = len(data)
         self.inverse = _powers_of(pow(base, -1, 1 << 64), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
@@ -47,6 +51,42 @@ class PrefixHash:
         return (self.sums[stop] - self.sums[start]) * self.inverse[start]
 
 
+_prime_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _prime_powers_of(base: int, prime: int, n: int) -> np.ndarray:
+    have = _prime_powers.get((base, prime))
+    if have is None or len(have) < n:
+        out = np.empty(max(n, 1), np.uint64)
+        out[0] = 1
+        done = 1
+        while done < n:
+            step = min(done, n - done)
+            out[done : done + step] = out[:step] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+            done += step
+        _prime_powers[base, prime] = have = out
+    return have[:n]
+
+
+class PrimeHash:
+    """Polynomial hash of any substring of at most ``CHUNK`` + 2^20 bytes modulo two primes, as one number of 62 bits.
+
+    Unlike one modulo 2^64 it has no strings that collide whatever the base.
+    """
+
+    def __init__(self, data: np.ndarray, seed: int) -> None:
+        self.parts = []
+        for prime, table in zip(PRIMES, _PRIME_TABLES, strict=True):
+            base = base_of(seed) % (prime - 3) + 2
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(table[data] * _prime_powers_of(base, prime, len(data) + 1)[: len(data)] % np.uint64(prime), out=sums[1:])
+            self.parts.append((np.uint64(prime), sums, _prime_powers_of(pow(base, -1, prime), prime, len(data) + 1)))
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        (p, a, x), (q, b, y) = self.parts
+        return ((a[stop] - a[start]) % p * x[start] % p << np.uint64(31)) | ((b[stop] - b[start]) % q * y[start] % q)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every window of ``width`` values, by doubling."""
     done = 1
@@ -58,20 +98,20 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def runs(data: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+def runs(data: np.ndarray, ends: np.ndarray, width: int, gram: int, seed: int = 0) -> tuple[np.ndarray, ...]:
     """Cut the windows of ``width`` bytes into runs that share their anchor, the window's least ``gram``-byte
     string by hash. Equal windows have equal anchors at equal places.
 
     ``ends``: where each document ends. Returns arrays over runs: first window, last window (both
-    inclusive), hash of the anchor, hash of the run (its anchor's place, length and bytes), the
-    distance from the first window to the anchor, and a second, independent hash of the run's bytes.
+    inclusive), hash of the anchor, hash of the run (its anchor's place, length and bytes), and the
+    distance from the first window to the anchor.
     """
     found: list[tuple[np.ndarray, ...]] = []
     n = len(data)
     for lo in range(0, max(0, n - width + 1), CHUNK):
         part = data[lo : min(n, lo + CHUNK + width - 1)]
         first = np.arange(len(part) - width + 1)
-        ph = PrefixHash(part)
+        ph = PrefixHash(part, base_of(seed))
         at = np.arange(len(part) - gram + 1)
         grams = mix(ph.of(at, at + gram))
         low = np.uint64((1 << 21) - 1)
@@ -85,13 +125,13 @@ def runs(data: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(first)) - 1
         a, b = a[valid[a]], b[valid[a]]
-        body = ph.of(a, b + width)
+        body = PrimeHash(part, seed).of(a, b + width)
         with np.errstate(over="ignore"):
             run = mix(body + mix((b - a).astype(np.uint64) * np.uint64(1 << 32) + (anchor[a] - a).astype(np.uint64)))
         # anchors are least hashes and so lie low; mixed again they spread evenly
-        found.append((a + lo, b + lo, mix(grams[anchor[a]] ^ np.uint64(_BASE)), run, anchor[a] - a, mix(PrefixHash(part, _BASE2, _TABLE2).of(a, b + width))))
+        found.append((a + lo, b + lo, mix(grams[anchor[a]] ^ np.uint64(base_of(0))), run, anchor[a] - a))
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -162,6 +202,18 @@ def suffix_sort(data: np.ndarray, ph: PrefixHash, suffixes: np.ndarray, groups:
     return order
 
 
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Direct comparison of spans, byte by byte."""
+    out = np.ones(len(a), bool)
+    for lo in range(0, len(a), 20_000):
+        n = length[lo : lo + 20_000]
+        which = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        differ = data[a[lo : lo + 20_000][which] + k] != data[b[lo : lo + 20_000][which] + k]
+        out[lo : lo + 20_000][which[differ]] = False
+    return out
+
+
 def equal_windows(data: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
     """Direct comparison of windows, byte by byte."""
     out = np.empty(len(a), bool)

@@ -185,6 +185,64 @@ def test_repeats(spark, more):
     assert sorted(map(tuple, got)) == models.repeats(rows)
 
 
+def test_repeats_beyond_a_chunk(spark):
+    """Texts longer than what is hashed at a time, with repeats across the borders, in several blocks."""
+    rng = np.random.default_rng(3)
+    long = rng.integers(97, 123, suffix_hash.CHUNK * 2 + 777, dtype=np.uint8).tobytes().decode()
+    cut = suffix_hash.CHUNK
+    rows = [(1, long), (2, long[cut - 300 : cut + 300]), (3, "x" + long[2 * cut - 60 : 2 * cut + 90] + "y"), (4, long[5:] + long[:200])]
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(models.frame(spark, rows))).collect()
+    assert sorted(map(tuple, got)) == models.repeats(rows)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_repeats_of_strings_that_collide_by_structure(spark):
+    """Thue-Morse strings collide modulo 2^64 whatever the base."""
+    a = thue_morse(4096)
+    b = a.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    ends = np.array([0]), np.array([2048])
+    there = np.array([4096]), np.array([4096 + 2048])
+    assert suffix_hash.PrefixHash(data).of(*ends) == suffix_hash.PrefixHash(data).of(*there)
+    assert suffix_hash.PrimeHash(data, 0).of(*ends) != suffix_hash.PrimeHash(data, 0).of(*there)
+    rows = [(1, a[:1500]), (2, b[:1500]), (3, a[64:192] + b[64:192]), (4, b[1024:1300])]
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(models.frame(spark, rows))).collect()
+    assert sorted(map(tuple, got)) == models.repeats(rows)
+
+
+def test_clash_means_another_attempt():
+    """Runs of one hash but different bytes are noticed within a block, between blocks and in the sort."""
+    rng = np.random.default_rng(5)
+    a, b = (bytes(rng.integers(97, 123, 900, dtype=np.uint8)) for _ in range(2))
+    block = suffix_dedup.Block(common.put_arrays(np.array([1, 2]), np.array([900, 900]), a + a), 100, 32)
+    assert not block.clash(100) and (block.later() == (block.doc_id == 2)).all()
+    block = suffix_dedup.Block(common.put_arrays(np.array([1, 2]), np.array([900, 900]), a + b), 100, 32)
+    block.run_of[:], block.head = 0, block.head[:1]
+    assert block.clash(100)
+
+    def verdicts(x, y):
+        send = lambda n, code, text: (n, suffix_dedup.BYTES, 3, 0, common.put_arrays(np.array([7], np.uint64), np.array([0]), np.array([5]), np.array([code]), text))
+        return [r["kind"] for batch in suffix_dedup._compare(iter([suffix_dedup._batch([send(0, 1, x), send(1, 2, y)])])) for r in batch.to_pylist()]
+
+    assert verdicts(a[:104], a[:104]) == [] and verdicts(a[:104], b[:104]) == [suffix_dedup.CLASH]
+
+
+@pytest.mark.parametrize("share", [1, 2])
+def test_hot_runs_and_windows(spark, monkeypatch, share):
+    """One string in very many surroundings, over many blocks and parts."""
+    monkeypatch.setattr(suffix_dedup, "SHARE", share)
+    rnd = random.Random(12)
+    say = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    hot, whole = say(120), say(300)
+    rows = [(rnd.randrange(300), say(rnd.randrange(90)) + hot + say(rnd.randrange(60)) + whole * rnd.randrange(2) + (hot if rnd.random() < 0.2 else "")) for _ in range(300)]
+    rows = list(dict(rows).items())
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(models.frame(spark, rows, 40), hot=5)).collect()
+    assert sorted(map(tuple, got)) == models.repeats(rows)
+
+
 def test_repeats_keep_spans_and_bytes(docs, rows, empty):
     found = suffix_dedup.remove_repeats(docs)
     texts = collections.defaultdict(set)
@@ -424,18 +482,3 @@ def test_em_learns_reliability():
     counts = [(3, 1, 1, -1, 2, True, 900), (3, 1, 0, -1, 2, True, 100), (3, -1, 1, -1, 2, False, 50), (3, -1, 0, -1, 2, False, 50)]
     model = pii.fit(counts)
     assert model.reliability[3, "known"] > 0.8 and model.odds[3, "known", 1] > model.odds[3, "known", 0]
-
-
-def test_whole_runs_are_told_apart_by_a_second_hash(spark, monkeypatch):
-    """Even where the first hash mixes up all runs, no unique bytes are removed."""
-    def mixed_up(*args):
-        first, last, anchor, run, *more = suffix_hash.runs(*args)
-        return first, last, anchor, run & np.uint64(0), *more
-
-    monkeypatch.setattr(suffix_dedup, "runs", mixed_up)
-    rng = np.random.default_rng(5)
-    a, b = (bytes(rng.integers(97, 123, 900, dtype=np.uint8)) for _ in range(2))
-    blocks = [suffix_dedup.Block(lm_scoring._put(np.array([i]), np.array([len(t)]), t), 100, 32) for i, t in enumerate((a, b, a + b))]
-    assert not blocks[0].later().any() and not blocks[1].later().any()
-    twice = suffix_dedup.Block(lm_scoring._put(np.array([1, 2]), np.array([900, 900]), a + a), 100, 32)
-    assert (twice.later() == (twice.doc_id == 2)).all()
