@@ -1,8 +1,8 @@
 """Language-model scoring by deleted interpolation.
 
 The probability of a token is a mixture of a uniform, a unigram and a bigram maximum-likelihood
-estimate. The mixture weights depend on how often the context was seen (buckets by powers of two)
-and come from expectation maximisation on held-out counts: a sixteenth of the training documents
+estimate. The mixture weights depend on how often the context was seen (buckets by powers of two; after a
+context that was never seen there is no bigram estimate, and its bucket mixes the other two) and come from expectation maximisation on held-out counts: a sixteenth of the training documents
 is set aside, its counts are deleted from the estimates, and the weights are those that make it
 most likely. Scores then use the counts of all training documents.
 
@@ -12,6 +12,13 @@ of its n-grams over all blocks and sends every block the totals of the block's o
 block's order. So an n-gram is shuffled once per block that has it, however often it occurs, no
 table of counts is gathered anywhere, and blocks and parts both grow in number, not in size.
 
+Tokens and bigrams are told apart by 64 bits of a hash. Of N different ones about N^2 / 2^65 pairs
+collide: none is expected below some billions, and of 10^13 (hundreds of TB) less than one in a million
+shares its counts with another.
+
+Texts of any length are read whole; one that exceeds ``BLOCK_BYTES`` has a block of its own. Extra
+columns are ignored whatever their names. Ties cannot matter: scores are sums.
+
 Null texts are empty: the end token alone. Documents without an id are training documents.
 Repeated rows count as often as they stand. Without training tokens every estimate but the
 uniform one is 0. An empty table gives an empty result.
@@ -37,7 +44,8 @@ BLOCK_BYTES = 6_000_000
 #: N-grams of one part, about.
 PART_NGRAMS = 1_000_000
 FOLDS = 16
-BUCKETS = 24
+BUCKETS = 48
+BLOCKS_PER_TASK = 4
 _K = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0x5DEECE66D1234567)
 _NO_ID = -(1 << 63)
@@ -226,24 +234,26 @@ def _histogram(tokens: int, kinds: int) -> Callable:
 def mixture(cells: list[tuple[int, int, float, float]], rounds: int = 100) -> list[tuple[float, float, float]]:
     """Mixture weights per bucket by EM. ``cells``: (bucket, tokens, sum of r1, sum of r2).
 
-    Every bucket begins with, and one pseudo-token pulls it towards, the weights of all buckets
-    together; buckets without data keep those.
+    Every bucket begins with, and one pseudo-token pulls it towards, the weights of all seen contexts
+    together; buckets without data keep those. The bucket of unseen contexts has no bigram part.
     """
 
-    def em(rows: list[tuple[int, float, float]], start: tuple[float, float, float], pull: float) -> tuple[float, float, float]:
-        w = np.array(start)
+    def em(rows: list[tuple[int, float, float]], start: np.ndarray) -> np.ndarray:
+        w = start
         if not rows:
             return start
         n = np.array([r[0] for r in rows], np.float64)
         ratio = np.stack([np.ones(len(rows)), np.array([r[1] for r in rows]) / n, np.array([r[2] for r in rows]) / n], axis=1)
         for _ in range(rounds):
             part = ratio * w
-            share = (part / part.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0) + pull * np.array(start)
+            share = (part / part.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0) + start
             w = share / share.sum()
-        return tuple(np.maximum(w, 1e-6) / np.maximum(w, 1e-6).sum())
+        floor = np.where(start > 0, np.maximum(w, 1e-6), 0)
+        return floor / floor.sum()
 
-    together = em([c[1:] for c in cells], (1 / 3, 1 / 3, 1 / 3), 1.0)
-    return [em([c[1:] for c in cells if c[0] == b], together, 1.0) for b in range(BUCKETS)]
+    together = em([c[1:] for c in cells if c[0]], np.full(3, 1 / 3))
+    unseen = np.array([together[0], together[1], 0.0]) / (together[0] + together[1])
+    return [tuple(em([c[1:] for c in cells if c[0] == b], together if b else unseen)) for b in range(BUCKETS)]
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -274,14 +284,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     slim = slim.select("doc_id", "text", (crc % 7 == 2).alias("held"), ((crc % 7 != 2) & (F.floor(crc / 7) % FOLDS == 0)).alias("fold"))
     blocks = materialize(slim.mapInArrow(_blocks, BLOCKS), "lm_blocks")
-    n = blocks.agg(F.sum("tokens")).first()[0] or 0
+    n, tasks = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    tasks = max(4, -(-tasks // BLOCKS_PER_TASK))
     bits = max(3, math.ceil(math.log2(max(1, n / PART_NGRAMS))))
     dealt = blocks.select("block", "fold", "data").mapInArrow(_deal(bits), DEALT)
     totals = materialize(in_key_order(dealt, "part", _sum, TOTALS, then=["block", "ord"], parts=1 << bits), "lm_totals")
     s = totals.where("block = -1").agg(F.sum("tokens"), F.sum("kinds"), F.sum("rest"), F.sum("rest_kinds")).first()
     tokens, kinds, rest, rest_kinds = (x or 0 for x in s)
     both = blocks.select("block", "ord", "part", "fold", "data").unionByName(totals.where("block >= 0").select("block", "ord", "part", "fold", "data"))
-    fold = in_key_order(both.where("fold").select("block", "ord", "part", "data"), "block", _histogram(rest, rest_kinds), HISTOGRAM, then=["ord", "part"])
+    fold = in_key_order(both.where("fold").select("block", "ord", "part", "data"), "block", _histogram(rest, rest_kinds), HISTOGRAM, then=["ord", "part"], parts=max(4, tasks // FOLDS))
     cells = fold.groupBy("bucket", "q1", "q2").agg(F.sum("n").alias("n"), F.sum("r1").alias("r1"), F.sum("r2").alias("r2")).collect()
     weights = mixture([(c["bucket"], c["n"], c["r1"], c["r2"]) for c in cells])
-    return in_key_order(both.select("block", "ord", "part", "data"), "block", _score(tokens, kinds, weights), SCORES, then=["ord", "part"])
+    return in_key_order(both.select("block", "ord", "part", "data"), "block", _score(tokens, kinds, weights), SCORES, then=["ord", "part"], parts=tasks)

@@ -147,8 +147,29 @@ def leaks(rows, items, window=13):
     return out
 
 
-def language_model(rows, mixture, buckets=24):
-    """{doc_id: (held out, n_tokens, n_known, N, base, score)}; ``mixture`` fits the weights."""
+def mixture_weights(tokens, rounds=100):
+    """Weights (uniform, unigram, bigram) per bucket by EM, token after token; ``tokens``: (bucket, p0, p1, p2)."""
+
+    def em(rows, start):
+        w = list(start)
+        for _ in range(rounds if rows else 0):
+            got = list(start)
+            for p in rows:
+                total = sum(a * b for a, b in zip(w, p, strict=True))
+                for i in range(3):
+                    got[i] += w[i] * p[i] / total
+            w = [g / sum(got) for g in got]
+        return w
+
+    seen = em([t[1:] for t in tokens if t[0]], [1 / 3] * 3)
+    out = collections.defaultdict(lambda: seen)
+    for k in {t[0] for t in tokens} | {0}:
+        out[k] = em([t[1:] for t in tokens if t[0] == k], seen if k else [seen[0] / (seen[0] + seen[1]), seen[1] / (seen[0] + seen[1]), 0.0])
+    return out
+
+
+def language_model(rows, buckets=48):
+    """{doc_id: (held out, n_tokens, n_known, N, base, score)}."""
     toks = {i: SPACED.findall((t or "").translate(UP)) + [None] for i, t in rows}
     crc = {i: zlib.crc32(str(i).encode()) for i in toks}
     train = [i for i in toks if crc[i] % 7 != 2]
@@ -163,7 +184,7 @@ def language_model(rows, mixture, buckets=24):
         return min(int(math.log2(c + 1)), buckets - 1), 1 / (v + 1), u[p[1]] / max(n, 1), b[p] / c if c else 0.0
 
     cells = [parts(p, less_uni, less_bi) for i in fold for p in pairs(i)]
-    weights = mixture([(k, 1, p1 / p0, p2 / p0) for k, p0, p1, p2 in cells])
+    weights = mixture_weights(cells)
     n, v = sum(uni.values()), len(uni)
     out = {}
     for i, t in toks.items():

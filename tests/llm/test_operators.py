@@ -341,7 +341,7 @@ def test_sharding(docs, rows, empty, monkeypatch, bits):
 def test_lm_scores(spark, rows, empty):
     plain = list({i: (i, t) for i, t in rows}.values())
     got = lm_scoring.score_documents(models.frame(spark, plain)).collect()
-    expect = models.language_model(plain, lm_scoring.mixture)
+    expect = models.language_model(plain)
     assert len(got) == len(plain)
     for r in got:
         held, n, known, total, base, score = expect[r.doc_id]
@@ -351,6 +351,36 @@ def test_lm_scores(spark, rows, empty):
     assert lm_scoring.score_documents(empty).count() == 0
 
 
+def test_lm_probabilities_sum_to_one():
+    """After every context, seen or not, the known tokens and one unknown share all of the mass."""
+    rnd = np.random.default_rng(4)
+    kinds, lens = 30, np.array([40] * 25)
+    vocab = np.append(rnd.integers(1, 2**63, kinds - 1, dtype=np.uint64), lm_scoring._END)
+    index = rnd.integers(0, kinds - 3, int(lens.sum())).astype(np.int32)
+    index[np.cumsum(lens) - 1] = kinds - 1
+    train = lm_scoring.Block(np.arange(25), np.zeros(25, bool), lens, vocab, index)
+    uni, bi = (dict(zip(k.tolist(), c.tolist(), strict=True)) for k, c in zip((train.unigrams, train.bigrams), train.counts(), strict=True))
+    weights = np.array(lm_scoring.mixture([(0, 50, 30.0, 0.0), (3, 90, 100.0, 250.0), (6, 500, 900.0, 4000.0)]))
+    assert np.allclose(weights.sum(axis=1), 1) and weights[0, 2] == 0 and (weights[1:] > 0).all()
+    tokens, known = len(index), len(set(index.tolist()))
+    for context in range(kinds):  # the last but two never occur
+        pair = np.array([[context, w] for w in range(kinds)], np.int32)
+        asked = lm_scoring.Block(np.arange(kinds), np.zeros(kinds, bool), np.full(kinds, 2), vocab, pair.ravel())
+        b, p0, p1, p2 = lm_scoring.estimates(asked, np.array([uni.get(k, 0) for k in asked.unigrams.tolist()]), np.array([bi.get(k, 0) for k in asked.bigrams.tolist()]), tokens, known)
+        w = weights[b]
+        each = (w[:, 0] * p0 + w[:, 1] * p1 + w[:, 2] * p2)[1::2]
+        unseen = kinds - known  # types outside the training tokens share the unknown token's place
+        assert each.sum() - (unseen - 1) * (w[1, 0] * p0[0]) == pytest.approx(1)
+
+
+def test_lm_texts_of_several_slices(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 3_000)
+    rows = list({i: (i, t) for i, t in models.corner_rows(9, 40)}.values())
+    expect = models.language_model(rows)
+    for r in lm_scoring.score_documents(models.frame(spark, rows)).collect():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == expect[r.doc_id][:4] and r.score == pytest.approx(expect[r.doc_id][5], rel=1e-3)
+
+
 def test_lm_nulls_and_repeats(spark):
     got = lm_scoring.score_documents(models.frame(spark, [(None, "a b"), (7, None), (7, None), (8, "a")])).collect()
     assert sorted(r.n_tokens for r in got) == [1, 1, 2, 3] and {r.train_tokens for r in got} <= {4, 5, 6, 7}
