@@ -301,11 +301,10 @@ def _sort_windows(keys, windows, ids, start, place, spans, data, width, seed) ->
     with np.errstate(over="ignore"):
         group = mix(keys[which] + (place[which] - j).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     suffix = spans[which] + j
-    order = np.lexsort((start[which] + j, ids[which], group))
-    g = group[order]
-    new = np.concatenate(([True], g[1:] != g[:-1]))
-    alone = new & np.concatenate((new[1:], [True]))
-    order = order[~alone]
+    order = np.argsort(group)
+    again = group[order][1:] == group[order][:-1]
+    order = order[np.concatenate((again, [False])) | np.concatenate(([False], again))]
+    order = order[np.lexsort(((start[which] + j)[order], ids[which[order]], group[order]))]
     flags = np.zeros(len(which), bool)
     if not len(order):
         return flags, False
@@ -333,7 +332,7 @@ def _sorted_parts(width: int, seed: int, bits: int | None = None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs_of_key(batches, "part"):
             got = [get_arrays(x.as_py()) for x in group.column("data")]
-            block = np.repeat(group.column("block").to_numpy(), [len(g[0]) for g in got])
+            block = np.concatenate([g[7] if len(g) > 7 else np.full(len(g[0]), b, np.int64) for g, b in zip(got, group.column("block").to_pylist(), strict=True)])
             keys, first, windows, ids, start, place = (np.concatenate([g[i] for g in got]) for i in range(6))
             data = np.frombuffer(b"".join(g[6] for g in got), np.uint8)
             length = windows + width - 1
@@ -370,16 +369,15 @@ def _sorted_parts(width: int, seed: int, bits: int | None = None) -> Callable:
             if clash:
                 rows.append((0, CLASH, 0, 0, b""))
             if bits is not None:
-                for from_block in np.unique(block[first_ones]):
-                    at = np.flatnonzero(first_ones & (block == from_block))
-                    own = mix(_window_hash(data, span[at], width, seed))
-                    order = np.argsort(own, kind="stable")
-                    cut = _bounds(own[order], bits)
-                    for p in range(1 << bits):
-                        x = at[order[cut[p] : cut[p + 1]]]
-                        if len(x):
-                            w, k = _spread(x, length[x])
-                            rows.append((int(from_block), DEALT, p, 0, put_arrays(own[order[cut[p] : cut[p + 1]]], first[x], windows[x], ids[x], start[x], place[x], data[span[x][w] + k].tobytes())))
+                at = np.flatnonzero(first_ones)
+                own = mix(_window_hash(data, span[at], width, seed))
+                order = np.argsort(own, kind="stable")
+                cut = _bounds(own[order], bits)
+                for p in range(1 << bits):
+                    x = at[order[cut[p] : cut[p + 1]]]
+                    if len(x):
+                        w, k = _spread(x, length[x])
+                        rows.append((part, DEALT, p, 0, put_arrays(own[order[cut[p] : cut[p + 1]]], first[x], windows[x], ids[x], start[x], place[x], data[span[x][w] + k].tobytes(), block[x])))
             for lo in range(0, len(rows), 64):
                 yield _batch(rows[lo : lo + 64])
 
