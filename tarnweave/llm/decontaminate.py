@@ -6,11 +6,13 @@ item of fewer words is one window. Test strings of one length are searched toget
 table over blocks of two words skips places where no test string can end, the block at a
 possible end selects a bucket of test strings, and direct comparison confirms.
 
-The test strings are sent to every executor, so their words are counted first: items are taken
-in passes of at most ``PASS_WORDS`` words (an item larger than that has a pass of its own), and
-each pass adds its hits to the rows of the one before, without a shuffle.
+The test strings are sent to every executor in blocks of at most ``PASS_WORDS`` words (an item larger than
+that has a block of its own), and a worker holds the tables of one block at a time. Documents are
+read and split into words once: up to ``CHUNK_BYTES`` of their text, or one text, are held while all
+blocks are searched in turn. There is no shuffle, and one block of items costs one look at its tables.
 
-Null texts have no words; items without words and null items match nothing. Items with a null id
+Texts of any length are read whole. Extra columns stay as they are, whatever their names. Ties cannot
+matter: all occurrences count. Null texts have no words; items without words and null items match nothing. Items with a null id
 mark words but aren't listed. Repeated rows are judged alike; repeated items count once. Without
 items no document is hit. An empty table gives an empty result.
 """
@@ -20,17 +22,17 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .packing import slices
 
 WINDOW = 13
 PASS_WORDS = 400_000
+CHUNK_BYTES = 16_000_000
 #: Maps bytes: A-Z to a-z, other ASCII that isn't a letter or digit to a space.
 _TABLE = bytes((c + 32) if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -111,67 +113,92 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_passages(text: str, tables: list[Searcher]) -> str:
-    """The text without its runs of hit words, and without those that the cuts bring about."""
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without its runs ``spans`` of words."""
     raw = text.encode("utf-8", "surrogatepass")
-    while True:
-        words = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_TABLE))]
-        spans, _ = hits(words_of(raw.decode("utf-8", "surrogatepass")), tables)
-        if not spans:
-            return raw.decode("utf-8", "surrogatepass")
-        for a, b in reversed(spans):
-            raw = raw[: words[a][0]] + raw[words[b - 1][1] :]
+    words = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_TABLE))]
+    for a, b in reversed(spans):
+        raw = raw[: words[a][0]] + raw[words[b - 1][1] :]
+    return raw.decode("utf-8", "surrogatepass")
 
 
 _built: dict[str, list[Searcher]] = {}
 
 
-def _cut(items, window: int) -> Callable:
-    """An Arrow function that cuts the passages of one broadcast block of items out of ``_text``."""
-    name = uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = pc.greater(pc.list_value_length(batch.column("_hits")), 0)
-            if pc.any(hit).as_py():
-                if name not in _built:
-                    _built.clear()
-                    _built[name] = searchers(items.value, window)
-                texts = batch.column("_text").to_pylist()
-                for i in pc.indices_nonzero(hit).to_pylist():
-                    texts[i] = without_passages(texts[i], _built[name])
-                batch = batch.set_column(batch.schema.get_field_index("_text"), "_text", pa.array(texts, batch.schema.field("_text").type))
-            yield batch
-
-    return run
+class Tables:
+    """The search tables of several broadcast blocks of items; those of the last block stay."""
+
+    def __init__(self, blocks: list, window: int) -> None:
+        self.blocks, self.window, self.name = blocks, window, uuid.uuid4().hex
+
+    def __iter__(self) -> Iterator[list[Searcher]]:
+        for k, items in enumerate(self.blocks):
+            name = f"{self.name}-{k}"
+            if name not in _built:
+                _built.clear()
+                _built[name] = searchers(items.value, self.window)
+                if len(self.blocks) > 1:
+                    vars(items).pop("_value", None)  # else the worker would keep the items of all blocks
+            yield _built[name]
+
+    def search(self, words: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set]]:
+        """Runs of hit words and items of each list of words."""
+        spans: list[list[tuple[int, int]]] = [[] for _ in words]
+        items: list[set] = [set() for _ in words]
+        for tables in self:
+            for i, w in enumerate(words):
+                s, more = hits(w, tables)
+                if s:
+                    spans[i] += s
+                    items[i] |= more
+        return [(merge(s) if len(self.blocks) > 1 else s, x) for s, x in zip(spans, items, strict=True)]
 
 
-def _pass(items, window: int, text: str, cut: bool = False) -> Callable:
-    """An Arrow function that adds the hits of one broadcast block of items; ``cut``, for the only block:
-    cuts them out of the texts that aren't contaminated."""
-    name = uuid.uuid4().hex
+def _chunks(batches: Iterator[pa.RecordBatch], text: str, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Batches put together, or parted, to about ``most`` bytes of text; without it, as they come."""
+    if most is None:
+        yield from batches
+        return
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part in slices(batch, text, most):
+            n = pc.sum(pc.binary_length(part.column(text))).as_py() or 0
+            if held and size + n > most:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _searched(tables: Tables, text: str, cut: bool, most: int | None) -> Callable:
+    """An Arrow function that adds hits, items and words; ``cut``: and cuts the passages out of the
+    texts that aren't contaminated, with those that the cuts bring about."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _built.get(name)
-        if tables is None:
-            _built.clear()
-            tables = _built[name] = searchers(items.value, window)
-        for batch in batches:
-            spans, ids, counts = batch.column("_hits").to_pylist(), batch.column("_items").to_pylist(), []
-            short: dict[int, str] = {}
-            for i, t in enumerate(batch.column(text)):
-                w = words_of(t.as_py())
-                counts.append(len(w))
-                s, more = hits(w, tables)
-                if s:
-                    spans[i] = [{"s": a, "e": b} for a, b in merge([(x["s"], x["e"]) for x in spans[i]] + s)]
-                    ids[i] = sorted({*ids[i], *(str(x) for x in more if x is not None)})
-                    if cut and 20 * sum(b - a for a, b in s) < len(w):
-                        short[i] = without_passages(t.as_py(), tables)
-            new = {"_hits": pa.array(spans, batch.schema.field("_hits").type), "_items": pa.array(ids, batch.schema.field("_items").type), "_words": pa.array(counts, pa.int64())}
-            if short:
-                new[text] = pa.array([short.get(i, t) for i, t in enumerate(batch.column(text).to_pylist())], batch.schema.field(text).type)
-            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
+        for batch in _chunks(batches, text, most):
+            texts = batch.column(text).to_pylist()
+            words = [words_of(t) for t in texts]
+            found = tables.search(words)
+            todo = [i for i, (s, _) in enumerate(found) if s and 20 * sum(b - a for a, b in s) < len(words[i])] if cut else []
+            spans = {i: found[i][0] for i in todo}
+            while todo:
+                for i in todo:
+                    texts[i] = without_spans(texts[i], spans[i])
+                again = tables.search([words_of(texts[i]) for i in todo])
+                spans = {i: s for i, (s, _) in zip(todo, again, strict=True) if s}
+                todo = list(spans)
+            fields = batch.schema
+            new = {
+                "_hits": pa.array([[{"s": a, "e": b} for a, b in s] for s, _ in found], fields.field("_hits").type),
+                "_items": pa.array([sorted({str(x) for x in items if x is not None}) for _, items in found], fields.field("_items").type),
+                "_words": pa.array([len(w) for w in words], pa.int64()),
+            }
+            if cut:
+                new[text] = pa.array(texts, fields.field(text).type)
+            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in fields.names], names=fields.names)
 
     return run
 
@@ -192,19 +219,12 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
-def _unmarked(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<struct<s:int,e:int>>"), "_items": F.array().cast("array<string>")})
-
-
-def mark(docs: DataFrame, benchmark: DataFrame, text: str, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, text: str, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text", cut: bool = False) -> DataFrame:
     """Add ``_words`` (long), ``_hits`` (runs of hit words) and ``_items`` (ids as strings) to ``docs``."""
-    df = _unmarked(docs)
+    df = docs.withColumns({"_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<struct<s:int,e:int>>"), "_items": F.array().cast("array<string>")})
     sc = docs.sparkSession.sparkContext
-    blocks = 0
-    for block in _blocks(benchmark, id_col, text_col):
-        df = df.mapInArrow(_pass(sc.broadcast(block), window, text), df.schema)
-        blocks += 1
-    return df if blocks else df.mapInArrow(_pass(sc.broadcast([]), window, text), df.schema)
+    blocks = [sc.broadcast(b) for b in _blocks(benchmark, id_col, text_col)]
+    return df.mapInArrow(_searched(Tables(blocks, window), text, cut, CHUNK_BYTES if len(blocks) > 1 else None), df.schema)
 
 
 def _n_hit():
@@ -236,23 +256,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 def cut_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The documents that aren't contaminated, with the runs of hit words cut out of their texts.
 
-    One block of items is searched and cut in one pass. Of several, each is cut in turn after all are
-    marked; as a cut may join words to a passage of an earlier block, the texts are searched again
-    until nothing is hit.
+    A cut may join words to another passage; texts are searched again until nothing is hit.
     """
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    sc = docs.sparkSession.sparkContext
-    head = list(islice(_blocks(benchmark, "item_id", "text"), 2))
-    if len(head) < 2:
-        df = _unmarked(packed)
-        df = df.mapInArrow(_pass(sc.broadcast(head[0] if head else []), window, "_text", cut=True), df.schema).where(~is_contaminated())
-    else:
-        df = mark(packed, benchmark, "_text", window).where(~is_contaminated())
-        while True:
-            for block in _blocks(benchmark, "item_id", "text"):
-                df = materialize(df, "cut_texts")
-                df = df.mapInArrow(_cut(sc.broadcast(block), window), df.schema)
-            df = materialize(mark(materialize(df, "cut_texts").select("_row", "_text"), benchmark, "_text", window), "cut_marked")
-            if not df.where(F.size("_hits") > 0).limit(1).count():
-                break
+    df = mark(packed, benchmark, "_text", window, cut=True).where(~is_contaminated())
     return df.select(*((F.col("_text") if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns))
