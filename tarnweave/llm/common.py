@@ -39,8 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder (parted by the values of a column) and read it back: lineage ends there.
 
     The shuffle files behind it are of no more use then, and Spark is told to drop them.
     """
@@ -49,7 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     kept = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     finally:
         spark.conf.set(CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)

@@ -78,7 +78,7 @@ with parts as (
     when '.' || host like '%.com' and starts_with(path, '/en/') then 'com/en/'
     when '.' || host like '%.net' and starts_with(path, '/de/') then 'net/de/'
     when '.' || host like '%.org' and starts_with(path, '/es/') then 'org/es/' end as rule,
-    coalesce('.' || host || '.' like '%.spam-farm.%', false) as listed
+    coalesce(regexp_matches('.' || host || '.', '[.](ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)[.]'), false) as listed
   from parts
 )
 select page_id, host, path, rule, case when rule in ('example.com/en/7', 'net/de/') then 'allow' when rule is not null or listed then 'block' else 'allow' end as verdict, listed from judged

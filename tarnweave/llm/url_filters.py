@@ -7,16 +7,21 @@ through; and so on until a level lets nothing wrong through. A key is listed whe
 level that rejects it has an odd number (or when the levels, all of which accept, are odd in
 number).
 
-The bits of each level go into the plan as a literal. Their number follows the listed keys, so
-it is checked: above ``MAX_BITS`` in one level, membership falls back to a left join with the
-listed keys, which Spark deals out like any other join.
-
-Null keys are never listed. Listed keys outside the universe do no harm. Empty lists and
-universes give filters that list nothing.
+The bits of each level go into the plan as a literal, so their number is bounded: keys are dealt by
+their hash into as many cascades as keep every level within ``MAX_BITS``, each built from its own keys
+alone. A key asks only the cascade of its hash. Lists of any size are answered this way: cascades of up
+to ``PASS_BITS`` go into one projection, more of them into one after the other, each over the table
+that the one before wrote.
+
+Null keys are never listed. Listed keys outside the universe do no harm. Repeated rows are judged
+alike, and repeated keys count once. Empty lists and universes give filters that list nothing, an
+empty table an empty result. Hosts and paths of any length are hashed and compared whole. Extra
+columns are ignored whatever their names. Of rules that fit a URL the longest wins; no two are equal.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -26,8 +31,9 @@ from .common import lower_ascii, materialize
 
 BITS_PER_KEY = 12
 HASHES = 4
-#: 4 MB of bits in one level; a wider list is joined instead.
+#: 4 MB of bits in one level, 16 MB in one projection.
 MAX_BITS = 1 << 25
+PASS_BITS = 1 << 27
 MAX_LEVELS = 40
 
 
@@ -52,8 +58,8 @@ RULES = (
     UrlRule("block", "example.net", "/de/8"),
     UrlRule("block", "org", "/es/"),
 )
-#: Production list: hosts under these labels are listed as spam.
-LISTED_LABELS = ("spam-farm",)
+#: Production list: hosts under these labels are listed.
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 @dataclass
@@ -88,14 +94,12 @@ def _level(keys: DataFrame, level: int, bits: int) -> str:
     return ",".join(map(str, words))
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, bits_per_key: int = BITS_PER_KEY) -> Cascade | None:
-    """Fit a cascade. Both tables have one column ``key``. None: the list is too large for literals.
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(shards)).cast("int")
 
-    ``universe`` holds every key that will ever be asked; repeated and null keys are ignored.
-    """
-    listed = listed.select("key").where("key is not null").distinct().withColumn("is_listed", F.lit(True))
-    marked = universe.select("key").where("key is not null").distinct().join(listed, "key", "left").select("key", F.coalesce("is_listed", F.lit(False)).alias("listed"))
-    keys = materialize(marked, "url_keys")
+
+def build_cascade(keys: DataFrame, bits_per_key: int = BITS_PER_KEY) -> Cascade | None:
+    """Fit a cascade to a table of different keys (key, listed). None: a level would exceed ``MAX_BITS``."""
     out = Cascade()
     inside, outside = keys.where("listed").select("key"), keys.where("not listed").select("key")
     for level in range(MAX_LEVELS):
@@ -113,6 +117,49 @@ def build_cascade(universe: DataFrame, listed: DataFrame, bits_per_key: int = BI
     raise RuntimeError(f"the cascade did not end in {MAX_LEVELS} levels")
 
 
+def build_cascades(universe: DataFrame, listed: DataFrame, bits_per_key: int = BITS_PER_KEY) -> list[Cascade]:
+    """One cascade per part of the keys; both tables have one column ``key``.
+
+    ``universe`` holds every key that will ever be asked; repeated and null keys are ignored. The parts are
+    doubled until no level of any is too large.
+    """
+    listed = listed.select("key").where("key is not null").distinct().withColumn("is_listed", F.lit(True))
+    marked = universe.select("key").where("key is not null").distinct().join(listed, "key", "left").select("key", F.coalesce("is_listed", F.lit(False)).alias("listed"))
+    keys = materialize(marked, "url_keys")
+    n = keys.where("listed").count()
+    shards = 1 << max(0, math.ceil(math.log2(max(1, n * bits_per_key / MAX_BITS))))
+    while True:
+        dealt = keys if shards == 1 else materialize(keys.withColumn("shard", _shard(F.col("key"), shards)), "url_shards", by="shard")
+        out: list[Cascade] = []
+        for shard in range(shards):
+            one = build_cascade(dealt if shards == 1 else dealt.where(F.col("shard") == shard).drop("shard"), bits_per_key)
+            if one is None:
+                break
+            out.append(one)
+        else:
+            return out
+        shards *= 2
+
+
+def with_listed(rows: DataFrame, key: str, cascades: list[Cascade], name: str = "listed") -> DataFrame:
+    """Add exact membership of ``key``, without a join."""
+    passes: list[list[int]] = [[]]
+    for i, one in enumerate(cascades):
+        if passes[-1] and sum(sum(cascades[j].bits) for j in passes[-1]) + sum(one.bits) > PASS_BITS:
+            passes.append([])
+        passes[-1].append(i)
+    rows = rows.withColumn(name, F.lit(False))
+    for k, some in enumerate(passes):
+        said = F.col(name)
+        for i in some:
+            inside = in_cascade(F.col(key), cascades[i])
+            said = inside if len(cascades) == 1 else F.when(_shard(F.col(key), len(cascades)) == i, inside).otherwise(said)
+        rows = rows.withColumn(name, said)
+        if k < len(passes) - 1:
+            rows = materialize(rows, "url_pass")
+    return rows
+
+
 def in_cascade(key: Column, cascade: Cascade) -> Column:
     """Exact membership for keys of the cascade's universe."""
     said = F.lit(len(cascade.bits) % 2 == 1)
@@ -149,11 +196,6 @@ def filter_urls(pages: DataFrame, listed: DataFrame | None = None, labels: tuple
     if listed is None:
         universe = materialize(universe, "url_universe")
         listed = universe.where(F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, labels))))
-    cascade = build_cascade(universe, listed)
-    if cascade is None:
-        keys = listed.select(F.col("key").alias("host")).where("host is not null").distinct().withColumn("listed", F.lit(True))
-        rows = rows.join(keys, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    else:
-        rows = rows.withColumn("listed", in_cascade(F.col("host"), cascade))
+    rows = with_listed(rows, "host", build_cascades(universe, listed))
     name, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")

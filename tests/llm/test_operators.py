@@ -401,20 +401,25 @@ def test_url_verdicts(spark):
     assert url_filters.filter_urls(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("share", [0, 2, 7])
-def test_cascade_is_exact(spark, share):
+@pytest.mark.parametrize(("share", "most", "once"), [(0, 1 << 25, 1 << 27), (2, 1 << 25, 1 << 27), (7, 1 << 25, 1 << 27), (2, 512, 1 << 27), (2, 512, 2048)])
+def test_cascades_are_exact(spark, monkeypatch, share, most, once):
+    """Of one part and of several, in one projection and in passes, with several levels."""
+    monkeypatch.setattr(url_filters, "MAX_BITS", most)
+    monkeypatch.setattr(url_filters, "PASS_BITS", once)
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key")).unionByName(spark.createDataFrame([(None,), ("k1",)], "key string"))
     listed = F.expr(f"pmod(xxhash64(key), 10) < {share}")
-    cascade = url_filters.build_cascade(universe, universe.where(listed).unionByName(spark.createDataFrame([("absent",)], "key string")), bits_per_key=2)
-    wrong = universe.where("key is not null").where(url_filters.in_cascade(F.col("key"), cascade) != listed)
-    assert wrong.count() == 0 and (not share or len(cascade.bits) > 1)
-
-
-def test_wide_lists_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(url_filters, "MAX_BITS", 32)
-    df = spark.createDataFrame([(1, "x://bad.fr/"), (2, "x://good.fr/")], "page_id long, url string")
-    got = url_filters.filter_urls(df, spark.createDataFrame([("bad.fr",), ("bad.fr",)], "key string")).collect()
-    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "allow"}
+    cascades = url_filters.build_cascades(universe, universe.where(listed).unionByName(spark.createDataFrame([("absent",)], "key string")), bits_per_key=2)
+    found = url_filters.with_listed(universe, "key", cascades)
+    assert found.where("listed").count() == universe.where("key is not null").where(listed).count()
+    assert found.where("key is not null").where(F.col("listed") != listed).count() == 0
+    assert all(max(c.bits, default=0) <= most for c in cascades) and (len(cascades) > 1) == (most == 512)
+    assert not share or max(len(c.bits) for c in cascades) > 1
+
+
+def test_lists_are_tables(spark):
+    df = spark.createDataFrame([(1, "x://bad.fr/"), (2, "x://good.fr/"), (3, "x://bad.fr/" + "p" * 50_000)], "page_id long, url string")
+    got = url_filters.filter_urls(df, spark.createDataFrame([("bad.fr",), ("bad.fr",), (None,)], "key string")).collect()
+    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "allow", 3: "block"}
 
 
 # ---- decontamination
