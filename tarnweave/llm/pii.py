@@ -1,15 +1,20 @@
 """Personal data by weak supervision. DataFrame functions only.
 
 Candidates are spans of four kinds: the base patterns (email, ip, card, phone), which always
-count, and looser forms of them. Labelers vote on every candidate - its form (regex), what its
-parts are known to be (gazetteer) and the words before it (context) - or abstain. Expectation
+count, and looser forms of them: addresses with "at" and "dot" as words or in brackets, bracketed or
+spaced IP numbers, card numbers with other separators or a wrong check digit, phone numbers without
+a plus. Labelers vote on every candidate - its form (regex and checksum), what its parts are known to be
+(gazetteer) and the text around it (context: words that announce such a span or another
+number, else whether it stands free or is part of a longer token) - or abstain. Expectation
 maximisation over the counts of vote patterns, a table of bounded size, estimates how reliable
 each labeler is per kind; the posteriors then train a naive Bayes classifier over the span's
 features, and that decides on the looser candidates.
 
 Offsets are code points, ends exclusive. Null texts are empty. Rows are judged one by one:
 repeated rows get equal spans; an empty table gives an empty result. Loose spans that overlap a
-base span of their kind are dropped. Texts of any length are read whole: offsets are
+base span of their kind are dropped; of loose spans of one kind that overlap, both stay. Candidates of
+equal votes share their verdict, so there are no ties to break. Extra columns are ignored, by ``redact`` kept,
+whatever their names. Texts of any length are read whole: offsets are
 prefix sums in two levels, so a text with m matches costs m * 64 + (m / 64)^2 steps.
 """
 
@@ -32,25 +37,36 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Looser forms; the classifier decides on their matches. Cards: digit runs that fail the checksum.
+#: Looser forms; the classifier decides on their matches, and on digit runs of card length that fail the checksum.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?:(?: ?(?:\[dot\]|\(dot\)) ?| dot |\.)[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++)",
+    "ip": r"(?<![0-9.])[0-9]{1,3}+(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}+| \. [0-9]{1,3}+){3}(?![0-9.])",
+    "card": r"(?<![0-9./_])[0-9]{4}(?:[./_][0-9]{2,7}+){2,4}+(?![0-9./_])",
+    "phone": r"(?<![0-9+.-])(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}|00[1-9][0-9]{0,2}[ .-][0-9]{2,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?)(?![0-9.-])",
 }
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 #: Gazetteers and context words, fixed values.
 TLDS = ("com", "de", "edu", "es", "eu", "fr", "gov", "info", "io", "net", "org", "uk")
-CONTEXT = {
+IIN = r"^(?:4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|35|30[0-5]|3[68]|6011|65|62)"
+CUES = {
     "email": r"(?i)(?:e-?mail|contact|write|kontakt|correo|courriel|@)",
     "ip": r"(?i)\b(?:ip|host|server|address|client|from)\b",
     "card": r"(?i)\b(?:card|visa|master|amex|credit|karte|carte|tarjeta|iban|account)\b",
     "phone": r"(?i)\b(?:phone|tel|call|mobile|fax|cell|telefon|rufen|appeler|llam)",
 }
+#: Words right before a span that announce something else.
+OTHERS = {
+    "email": r"(?i)\b(?:look|meet|stay|arrive|sold)\b[^A-Za-z]{0,12}$",
+    "ip": r"(?i)\b(?:version|release|section|chapter|firmware)\b[^A-Za-z]{0,12}$",
+    "card": r"(?i)\b(?:order|invoice|tracking|serial|isbn|ticket|ref)\b[^A-Za-z]{0,12}$",
+    "phone": r"(?i)\b(?:order|invoice|part|serial|isbn|ticket|ref)\b[^A-Za-z]{0,12}$",
+}
+GLUED_BEFORE, GLUED_AFTER = r"[A-Za-z0-9_=/#&?-]$", r"^[A-Za-z0-9_=/#&-]"
 LABELERS = ("form", "known", "near")
 #: Prior share of true spans among those that no base pattern confirms, and the prior reliability
 #: of the labelers; both weigh as much as a quarter of the spans.
 SHARE = {"email": 0.5, "ip": 0.1, "card": 0.1, "phone": 0.6}
-RELIABLE = {"form": 0.95, "known": 0.75, "near": 0.75}
+RELIABLE = {"form": 0.95, "known": 0.75, "near": 0.65}
 CONTEXT_CHARS = 40
 _CHUNK = 64
 
@@ -74,17 +90,23 @@ def _valid(kind: str, s: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.when(n.between(13, 19), luhn(_digits(s))).otherwise(F.lit(False))
 
 
-def _votes(kind: str, s: Column, before: Column, base: bool) -> tuple[Column, Column, Column]:
+def _votes(kind: str, s: Column, before: Column, after: Column, base: bool) -> tuple[Column, Column, Column]:
     """form, known, near: 1 for, 0 against, -1 abstains."""
-    n = F.length(_digits(s))
-    near = F.when(before.rlike(CONTEXT[kind]), 1).otherwise(-1)
+    digits = _digits(s)
+    n = F.length(digits)
+    near = F.when(before.rlike(OTHERS[kind]), 0).when(before.rlike(CUES[kind]) | after.rlike(CUES[kind]), 1).when(before.rlike(GLUED_BEFORE) | after.rlike(GLUED_AFTER), 0).otherwise(1)
+    vote = lambda x: F.when(x, 1).otherwise(0)
     if kind == "email":
-        return F.lit(1 if base else -1), F.when(F.lower(F.regexp_extract(s, r"([A-Za-z0-9-]+)$", 1)).isin(*TLDS), 1).otherwise(0), near
+        tail = F.lower(F.regexp_extract(s, r"([A-Za-z0-9-]+)$", 1))
+        return vote(F.lit(base) | tail.rlike("^[a-z]{2,10}$")), vote(tail.isin(*TLDS)), near
     if kind == "ip":
-        return F.when(s.rlike(OCTETS), 1).otherwise(0), F.when(s.rlike(r"^(?:0|127|255)\."), 0).otherwise(-1), near
+        parts = s if base else F.regexp_replace(s, "[^0-9]+", ".")
+        first = F.regexp_extract(parts, r"^0*([0-9]*)", 1)
+        return vote(parts.rlike(OCTETS)), F.when(first.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])$"), F.when(first == "127", -1).otherwise(1)).otherwise(0), near
     if kind == "card":
-        return F.when(n.between(13, 19) & luhn(_digits(s)), 1).otherwise(0), F.when(_digits(s).rlike("^[3-6]"), 1).otherwise(0), near
-    return (F.when(n.between(9, 15), 1).otherwise(0) if base else F.lit(-1)), F.when(_digits(s).rlike("^(?:1?[2-9])"), 1).otherwise(0), near
+        return vote(n.between(13, 19) & luhn(digits)), vote(digits.rlike(IIN)), near
+    area = F.regexp_replace(digits, "^(?:00)?1?", "")
+    return vote(n.between(9, 15) & (F.lit(base) | ~s.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}$") | digits.rlike("^[2-9][0-9]{2}[2-9]"))), vote(area.rlike("^[2-9]")), near
 
 
 def _total(part: Column) -> Column:
@@ -110,7 +132,7 @@ def _spans(kind: str, base: bool, matches: Column, gaps: Column, lengths: Column
     def one(m: Column, k: Column) -> Column:
         c = (k / _CHUNK).cast("int")
         end = F.get(chunks, c) + _total(F.slice(lengths, c * _CHUNK + 1, k - c * _CHUNK + 1))
-        form, known, near = _votes(kind, m, F.right(F.get(gaps, k), F.lit(CONTEXT_CHARS)), base)
+        form, known, near = _votes(kind, m, F.right(F.get(gaps, k), F.lit(CONTEXT_CHARS)), F.coalesce(F.left(F.get(gaps, k + 1), F.lit(CONTEXT_CHARS)), F.lit("")), base)
         valid = _valid(kind, m) if base else F.lit(False)
         n = F.length(_digits(m))
         joined = F.get(gaps, k).rlike("[A-Za-z0-9]$") | F.get(gaps, k + 1).rlike("^[A-Za-z0-9]")
@@ -122,12 +144,13 @@ def _spans(kind: str, base: bool, matches: Column, gaps: Column, lengths: Column
 def candidates(df: DataFrame, text: str, p: str = "_p_") -> DataFrame:
     """Add ``{p}cands``: every candidate span of the text with its votes and features."""
     t = F.coalesce(F.col(text), F.lit(""))
-    hint = {"email": t.contains("@") | t.rlike(r"[\[(]at[\])]"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9]"), "phone": t.rlike("[0-9]")}
+    digit = t.rlike("[0-9]")
+    hint = {("email", True): t.contains("@"), ("email", False): t.rlike(r"[\[(]at[\])]| at [A-Za-z0-9-]+ dot "), ("ip", True): t.rlike(r"[0-9]\.[0-9]"), ("ip", False): t.rlike(r"[0-9] ?(?:[\[(](?:\.|dot)[\])]|\. [0-9])| \. [0-9]"), ("card", False): t.rlike("[0-9]{4}[./_][0-9]")}
     sets = [(k, True, BASE[k]) for k in KINDS] + [(k, False, LOOSE[k]) for k in LOOSE]
     empty = F.array().cast("array<string>")
     cols: dict[str, Column] = {}
-    for i, (kind, _, pattern) in enumerate(sets):
-        cols[f"{p}m{i}"] = F.when(hint[kind], F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(empty)
+    for i, (kind, base, pattern) in enumerate(sets):
+        cols[f"{p}m{i}"] = F.when(hint.get((kind, base), digit), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(empty)
     df = df.withColumns(cols)
     df = df.withColumns({f"{p}g{i}": F.when(F.size(f"{p}m{i}") > 0, F.split(t, pattern, -1)).otherwise(empty) for i, (_, _, pattern) in enumerate(sets)})
     df = df.withColumns({f"{p}n{i}": _lengths(F.col(f"{p}m{i}"), F.col(f"{p}g{i}")) for i in range(len(sets))})
@@ -158,7 +181,9 @@ def fit(counts: list[tuple], rounds: int = 50) -> Model:
     """EM over (kind, form, known, near, size, base, n), then naive Bayes on the posteriors.
 
     A labeler is right with a probability of its own per kind; an abstaining one says nothing.
-    Spans that match a base pattern in full are known to be true.
+    Spans that match a base pattern in full are known to be true. The classifier learns what features
+    true and false spans have from all spans, and how frequent true ones are from the loose ones,
+    which are all that it decides on.
     """
     prior, odds, reliability = {}, {}, {}
     for kind in range(len(KINDS)):
@@ -187,7 +212,7 @@ def fit(counts: list[tuple], rounds: int = 50) -> Model:
             reliability[kind, name] = right[name]
         yes = sum(p * r[6] for p, r in zip(post, rows, strict=True))
         no = sum((1 - p) * r[6] for p, r in zip(post, rows, strict=True))
-        prior[kind] = math.log((yes + 1) / (no + 1))
+        prior[kind] = math.log((sum(p * r[6] for p, r in zip(post, rows, strict=True) if not r[5]) + 1) / (no + 1))
         for at, name in enumerate(FEATURES, 1):
             values = {r[at] for r in rows}
             for v in values:

@@ -504,6 +504,38 @@ def test_pii(spark, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+def test_all_spans_against_a_model(spark):
+    """Candidates, votes, EM and classifier against a plain model; of each kind loose spans are taken and refused."""
+    rows = dict(personal_rows())
+    say = "lorem ipsum dolor".split()
+    rnd = random.Random(10)
+    good = {
+        "email": ["joe[at]site[dot]com", "ann.b (at) mail.org", "kim at host dot net"],
+        "ip": ["10[.]2[.]3[.]4", "81 . 2 . 69 . 160", "93(dot)184(dot)216(dot)34"],
+        "card": ["4111.1111.1111.1111", "5500_0000_0000_0004", "4012/8888/8888/1881"],
+        "phone": ["(555) 223-4567", "0044 20 7946 0958", "212-555-0187"],
+    }
+    bad = {
+        "email": ["look at a dot 9", "meet at b dot 77"],
+        "ip": ["300[.]400[.]1[.]1", "999 . 2 . 3 . 4"],
+        "card": ["4111.1111.1111.1112", "9999 1111 2222 3333"],
+        "phone": ["000-111-2222", "111-011-3333"],
+    }
+    planted: dict[int, list] = {}
+    for i in range(1000, 1400):
+        kind = rnd.choice(pii.KINDS)
+        true = rnd.random() < 0.5
+        head = " ".join(rnd.choice(say) for _ in range(rnd.randrange(1, 6))) + (" order " if not true else " ")
+        span = rnd.choice((good if true else bad)[kind])
+        rows[i] = head + span + " " + rnd.choice(say)
+        planted[i] = [kind, len(head), len(head) + len(span), true]
+    rows = list(rows.items())
+    got = {r.doc_id: {(pii.KINDS[x.kind], x.start, x.end) for x in r.spans} for r in pii.find_pii(models.frame(spark, rows)).collect()}
+    assert got == models.personal_spans(rows, pii)
+    for i, (kind, a, b, true) in planted.items():
+        assert ((kind, a, b) in got[i]) == true, dict(rows)[i]
+
+
 def test_redaction(spark):
     rows = [(0, None), (1, "mail a.b@c.de or +1 (017) 555-7713."), (2, "nothing é"), (3, "1.2.3.4@x.yz")]
     docs = models.frame(spark, rows)
