@@ -1,8 +1,21 @@
 """The corpus pipeline: quality rules, near duplicates, benchmark passages, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-read back as the next stage's ``docs``. All but the last return the columns of ``documents``; the
-last returns the packed pieces of what is left.
+read back as the next stage's ``docs``. All but the last return the columns of ``documents``, with
+extra ones as they came, whatever their names; the last returns the packed pieces of what is left.
+
+Defined results, stage by stage (n: nulls, e: empty texts, l: very long ones, t: ties, r: repeated rows; an empty
+table gives an empty table everywhere):
+
+* quality_rules: n and e have no words and go; l are measured whole; verdicts have no ties; r are judged alike.
+* near_duplicates: n and e belong to no class and stay; l are compared whole; of a class the smallest doc_id
+  stays (t: then the smallest hash of the text, null ids first); of r one stays.
+* benchmark_decontamination: n and e have no words and stay; l are searched and cut whole; all occurrences count,
+  so there are no t; r are cut alike. Without benchmark items nothing is cut.
+* personal_data: n stay null, e stay empty; l are searched whole; of overlapping spans the first, then the longest
+  gives its name (t); r are redacted alike.
+* best_fit_packing: n and e are one piece with the end id; l are cut into whole sequences and a rest; which of
+  equally full sequences takes a piece (t) doesn't change their number; r are packed each for itself.
 """
 
 from __future__ import annotations

@@ -55,6 +55,14 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and nothing reads any more."""
+    jvm = table.sparkSession._jvm
+    for folder in {f.rpartition("/part-")[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def word_array(text):
     """Column: the words ``[^\\x20\\x09-\\x0D]+`` of ``text``; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
@@ -126,7 +134,6 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     now = materialize(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    spark = edges.sparkSession
     before = None
     for _ in range(rounds):
         # large-star: every larger neighbour points at the smallest of the closed neighbourhood
@@ -137,13 +144,13 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = materialize(small.where("u <> v").distinct(), "cc")
+        new = materialize(small.where("u <> v").distinct(), "cc")
+        drop(now)
+        now = new
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break
         before = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    node_type = now.schema["u"].dataType
-    assert spark is now.sparkSession and node_type is not None
     return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

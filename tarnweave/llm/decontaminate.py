@@ -33,6 +33,7 @@ from .packing import slices
 WINDOW = 13
 PASS_WORDS = 400_000
 CHUNK_BYTES = 16_000_000
+SLICE_BYTES = 2_000_000
 #: Maps bytes: A-Z to a-z, other ASCII that isn't a letter or digit to a space.
 _TABLE = bytes((c + 32) if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -154,11 +155,8 @@ class Tables:
         return [(merge(s) if len(self.blocks) > 1 else s, x) for s, x in zip(spans, items, strict=True)]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text: str, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Batches put together, or parted, to about ``most`` bytes of text; without it, as they come."""
-    if most is None:
-        yield from batches
-        return
+def _chunks(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together, or parted, to about ``most`` bytes of text, or one row."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -173,7 +171,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], text: str, most: int | None) -> I
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _searched(tables: Tables, text: str, cut: bool, most: int | None) -> Callable:
+def _searched(tables: Tables, text: str, cut: bool, most: int) -> Callable:
     """An Arrow function that adds hits, items and words; ``cut``: and cuts the passages out of the
     texts that aren't contaminated, with those that the cuts bring about."""
 
@@ -224,7 +222,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str, window: int = WINDOW,
     df = docs.withColumns({"_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<struct<s:int,e:int>>"), "_items": F.array().cast("array<string>")})
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(b) for b in _blocks(benchmark, id_col, text_col)]
-    return df.mapInArrow(_searched(Tables(blocks, window), text, cut, CHUNK_BYTES if len(blocks) > 1 else None), df.schema)
+    return df.mapInArrow(_searched(Tables(blocks, window), text, cut, CHUNK_BYTES if len(blocks) > 1 else SLICE_BYTES), df.schema)
 
 
 def _n_hit():

@@ -35,7 +35,9 @@ more, up to all pairs between blocks.
 Sets that are equal (exact copies above all) are one node throughout and expand to rows only at
 the end. Shingles are 64-bit hashes, sets are told apart by 64 bits of a 128-bit digest.
 
-Texts without words (null, empty, blank) have an empty set and are linked to nothing. Repeated
+Texts of any length are read whole: one that exceeds a slice has a slice of its own. Extra columns are
+ignored, by ``keep_one_of_each`` kept, whatever their names. Of a class the smallest doc_id (null
+first, then by the text's hash) names it. Texts without words (null, empty, blank) have an empty set and are linked to nothing. Repeated
 rows are copies of each other. An empty table gives an empty result.
 """
 
@@ -50,6 +52,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, in_key_order, materialize, runs_of_key
 from .packing import slices
@@ -64,8 +67,8 @@ BUCKET = 2048
 #: Sets and shingles of a proposed group that one task compares; larger groups go in blocks.
 BLOCK_SETS = 1024
 BLOCK_TOKENS = 1_500_000
-#: Rows of a table of ids that is broadcast (about 40 MB); a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table of ids that is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 32_000_000
 SKETCH_BITS = 256
 PARITY_BITS = 512
 #: Members that vote on a centre, about.
@@ -402,8 +405,9 @@ def _links(out: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBat
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if its rows have been counted to be few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` (numbers, and arrays of numbers), to be broadcast if its values have been counted to be few."""
+    width = sum((F.size(f.name) * 8 + 16 if isinstance(f.dataType, T.ArrayType) else F.lit(16) for f in df.schema), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def _with_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
