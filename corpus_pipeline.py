@@ -10,8 +10,8 @@ table gives an empty table everywhere):
 * quality_rules: n and e have no words and go; l are measured whole; verdicts have no ties; r are judged alike.
 * near_duplicates: n and e belong to no class and stay; l are compared whole; of a class the smallest doc_id
   stays (t: then the smallest hash of the text, null ids first); of r one stays.
-* benchmark_decontamination: n and e have no words and stay; l are searched and cut whole; all occurrences count,
-  so there are no t; r are cut alike. Without benchmark items nothing is cut.
+* benchmark_decontamination: n and e have no words and stay; l are searched whole; all occurrences count,
+  so there are no t; r are judged alike. Without benchmark items all stay.
 * personal_data: n stay null, e stay empty; l are searched whole; of overlapping spans the first, then the longest
   gives its name (t); r are redacted alike.
 * best_fit_packing: n and e are one piece with the end id; l are cut into whole sequences and a rest; which of
@@ -41,9 +41,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a twentieth of their words in benchmark windows, less the passages they have; ``n_chars`` follows the text."""
-    clean = decontaminate.cut_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+    """Documents without any word in a benchmark window, however long they are."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), any_hit=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -244,10 +244,10 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """The documents that aren't contaminated, with their own columns only."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", any_hit: bool = False) -> DataFrame:
+    """The documents that aren't contaminated (``any_hit``: that have no hit word at all), with their own columns only."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    clean = mark(packed, benchmark, "_text", window).where(~is_contaminated())
+    clean = mark(packed, benchmark, "_text", window).where(F.size("_hits") == 0 if any_hit else ~is_contaminated())
     return clean.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
