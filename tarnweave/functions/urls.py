@@ -115,6 +115,17 @@ def is_internal(url: Column, domain: Column, onion: bool = False) -> Column:
     return F.coalesce(registered_domain(host(url), onion) == domain, F.lit(False))
 
 
-def absolute(origin_url: Column, relative_url: Column) -> Column:
-    """The request URL of a frontier row."""
-    return F.concat(origin_url, F.when(relative_url.startswith("/") | (relative_url == ""), relative_url).otherwise(F.concat(F.lit("/"), relative_url)))
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; ``..`` at the root stays there."""
+    parts = F.split(path, "/")
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.slice(parts, 1, 1), step)
+    ends = F.element_at(parts, -1).isin(".", "..")
+    return F.when(path == "", path).otherwise(F.concat(F.array_join(kept, "/"), F.when(ends, "/").otherwise("")))
+
+
+def request_url(origin_url: Column, relative_url: Column) -> Column:
+    """The URL to request for an item: its subdomain's origin and its relative URL, dot segments removed."""
+    path, query = part(relative_url, "path"), part(relative_url, "query")
+    path = F.when(path.startswith("/") | (path == ""), path).otherwise(F.concat(F.lit("/"), path))
+    return F.concat(origin_url, without_dots(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))

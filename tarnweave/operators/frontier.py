@@ -45,16 +45,19 @@ def min_depth(references: DataFrame, keys: list[str]) -> DataFrame:
     return references.groupBy(*keys).agg(F.min(depth).alias("depth"))
 
 
-def link_levels(seeds: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
+def link_levels(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """Breadth-first depth of every node reached from ``seeds`` (node) over ``edges`` (source, target).
 
-    A bounded loop; each round joins only the last level and writes it, so lineage stays short.
+    Each round joins only the last level and writes it, so lineage stays short; it ends when a level is
+    empty, or where the caller wants no more than ``most`` levels.
     """
     from ..sources.tables import write_temporary
 
     seen = write_temporary(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "levels")
     level = seen
-    for depth in range(1, most + 1):
+    depth = 0
+    while most is None or depth < most:
+        depth += 1
         found = level.join(edges, level["node"] == edges["source"]).select(F.col("target").alias("node")).distinct()
         level = write_temporary(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "levels")
         if not level.take(1):
@@ -107,9 +110,11 @@ def upsert(frontier: DataFrame, references: DataFrame, now: Column) -> DataFrame
 
     One full outer join on the item key after the references are reduced to one row per item.
     External references set the depth to 0; internal ones of a newer cycle reset depth and cycle,
-    others only lower the depth. Unavailable items and failed ones that aren't due keep their queue.
+    others only lower the depth. Unavailable items and failed ones that aren't due stay as they are.
+    Items have relative URLs: references with a scheme are refused.
     """
     keys = ["host", "subdomain", "uri_key"]
+    references = references.where(F.coalesce(~F.col("url").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(True)))
     newest = F.struct(F.when(F.col("internal"), F.col("source_cycle")).otherwise(F.lit(-1)).alias("cycle"), F.when(F.col("internal"), -(F.col("source_depth") + 1)).alias("near"))
     refs = references.groupBy(*keys).agg(F.min(F.struct("seq", "url")).alias("first"), F.max(newest).alias("newest"), F.min(F.when(F.col("internal"), F.col("source_depth") + 1)).alias("near"), F.bool_or(~F.col("internal")).alias("outside"), F.bool_or("internal").alias("inside"))
     both = frontier.alias("f").join(refs.alias("r"), keys, "full_outer")
@@ -143,24 +148,6 @@ def next_requests(frontier: DataFrame, now: Column, budget: int = 1) -> DataFram
     return retries.unionByName(waiting).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= budget).drop("_class")
 
 
-def started(item: DataFrame, now: Column) -> DataFrame:
-    return item.withColumn("last_started", now)
-
-
-def finished(item: DataFrame, now: Column) -> DataFrame:
-    return item.withColumns({"fail_count": F.lit(0), "last_download": now, "last_started": F.lit(None).cast("timestamp"), "queue": F.lit(None).cast("string")})
-
-
-def ignored(item: DataFrame) -> DataFrame:
-    return item.withColumns({"ignore": F.lit(True), "queue": F.lit(None).cast("string")})
-
-
-def failed(item: DataFrame, floor: int = 0) -> DataFrame:
-    """One more failure; the item joins its retry level while it is available."""
-    fails = F.greatest(F.col("fail_count"), F.lit(floor)) + 1
-    return item.withColumns({"fail_count": fails, "queue": F.when(~unavailable(fails, F.col("ignore")), F.lit("failqueue"))})
-
-
 def classify(status: Column, error: Column, is_html: Column, size: Column, most: int = 2_000_000) -> Column:
     """What a response means for its item: finished, ignored, failed, or one of the special failures."""
     of_error = (
@@ -187,11 +174,6 @@ def in_fail_timeout(streak: Column, since: Column, now: Column) -> Column:
     return F.coalesce(_seconds(now, since) < 3600 * F.floor(streak * streak / 2), F.lit(False))
 
 
-def fail_streaks(outcomes: DataFrame, most: int = STREAK_FAILS) -> DataFrame:
-    """New fail streaks per host out of its first-time failures and 429 responses."""
-    return outcomes.groupBy("host").agg(F.count_if((F.col("outcome").startswith("failed")) & (F.col("fail_count") == 0)).alias("n_fails"), F.bool_or(F.col("outcome") == "failed_new_streak").alias("refused")).withColumn("new_streak", F.col("refused") | (F.col("n_fails") > most))
-
-
 def wants_up(frontier: DataFrame, hosts: DataFrame, now: Column) -> DataFrame:
     """Per host whether it has work: outside its timeout, with a waiting item or a due head of few failures."""
     waiting = frontier.groupBy("host").agg(F.bool_or(F.coalesce(F.col("queue").isin("priority", "queue", "low"), F.lit(False))).alias("waiting"))
@@ -202,9 +184,16 @@ def wants_up(frontier: DataFrame, hosts: DataFrame, now: Column) -> DataFrame:
 
 
 def introduction_points(items: DataFrame, most: int = INTRODUCTIONS) -> DataFrame:
-    """Depth-0 items in order of download: the first ``most`` per host, beyond that roots only."""
+    """Depth-0 items in order of download: the first ``most`` per host, beyond that roots only.
+
+    The rank limit is pushed below the shuffle, so a task gets at most ``most`` rows of a host from each other
+    task; roots need no rank and no shuffle.
+    """
     w = Window.partitionBy("host").orderBy("seq")
-    return items.where("depth = 0").withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= most) | F.col("url").isin("/", "")).drop("_n")
+    start = items.where("depth = 0")
+    root = F.coalesce(F.col("url").isin("/", ""), F.lit(False))
+    head = start.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).where(~root).drop("_n")
+    return head.unionByName(start.where(root))
 
 
 def recrawl_due_seconds(points: DataFrame, now: Column) -> DataFrame:
@@ -215,7 +204,18 @@ def recrawl_due_seconds(points: DataFrame, now: Column) -> DataFrame:
 
 
 def recrawl_order(due: DataFrame) -> DataFrame:
-    return due.orderBy("due_in", "host")
+    """Hosts with ``place``, their rank by (due_in, host).
+
+    Ranks are places within ranges of the order plus the sizes of the ranges before, of which there are as many
+    as partitions; no task sees all hosts.
+    """
+    from ..sources.tables import write_temporary
+
+    ranged = write_temporary(due.repartitionByRange("due_in", "host").withColumn("_part", F.spark_partition_id()), "recrawl_order")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("due_in", "host"))
+    return ranged.withColumn("_at", within).join(F.broadcast(before), "_part").select(*due.columns, (F.col("_at") + F.col("_before")).cast("int").alias("place"))
 
 
 def recrawl_now(due: DataFrame, force: bool = False, most: int = FORCED_RECRAWLS) -> DataFrame:
@@ -223,15 +223,6 @@ def recrawl_now(due: DataFrame, force: bool = False, most: int = FORCED_RECRAWLS
     return due.orderBy("due_in", "host").limit(most) if force else due.where("due_in <= 0")
 
 
-def recrawl(frontier: DataFrame, points: DataFrame, hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Start a cycle: (frontier with the hosts' introduction points in the priority queue, hosts with the new cycle)."""
-    fresh = hosts.withColumn("latest_cycle", F.col("latest_cycle") + 1)
-    mark = points.select("host", "subdomain", "uri_key").distinct().join(fresh.select("host", "latest_cycle"), "host").withColumnRenamed("latest_cycle", "_cycle")
-    out = frontier.join(mark, ["host", "subdomain", "uri_key"], "left")
-    hit = F.col("_cycle").isNotNull()
-    return out.withColumns({"queue": F.when(hit, "priority").otherwise(F.col("queue")), "cycle": F.coalesce("_cycle", "cycle")}).drop("_cycle"), fresh
-
-
 def recrawl_timer(due_in: Column) -> Column:
     """Seconds until the timer should look again."""
     return F.greatest(due_in, F.lit(0.0)) + 5
@@ -269,11 +260,6 @@ def same_frontier(a: DataFrame, b: DataFrame) -> bool:
     return not a.exceptAll(b.select(*a.columns)).take(1) and not b.select(*a.columns).exceptAll(a).take(1)
 
 
-def scheme_of_hosts(responses: DataFrame) -> DataFrame:
-    """The scheme of each host's last response (host, scheme, ts)."""
-    return responses.groupBy("host").agg(F.max_by("scheme", "ts").alias("scheme"))
-
-
 def split_links(links: DataFrame, url: str = "url", domain: str = "host", onion: bool = False) -> tuple[DataFrame, DataFrame]:
     """(internal, external) links of pages."""
     from ..functions.urls import is_internal
@@ -282,10 +268,17 @@ def split_links(links: DataFrame, url: str = "url", domain: str = "host", onion:
     return links.where(inside), links.where(~inside)
 
 
+def moved_to(host: Column, final_url: Column, onion: bool = False) -> Column:
+    """The registered domain of a final URL where it is another than the host, else null."""
+    from ..functions import urls
+
+    target = urls.registered_domain(urls.host(final_url), onion)
+    return F.when(~target.eqNullSafe(host), F.coalesce(target, F.lit("")))
+
+
 def moved_pages(pages: DataFrame, requested: str = "host", final_url: str = "final_url", onion: bool = False) -> DataFrame:
-    """Pages that redirected to another registered domain, as external links of that domain."""
-    from ..functions.urls import host, registered_domain
+    """Pages that redirected to another registered domain, with it as ``target_host``; in onion mode those that left it are dropped."""
+    from ..functions.urls import host
 
-    target = registered_domain(host(F.col(final_url)), onion)
-    out = pages.where(~target.eqNullSafe(F.col(requested))).withColumn("target_host", target)
+    out = pages.withColumn("target_host", moved_to(F.col(requested), F.col(final_url), onion)).where("target_host is not null")
     return out.where(host(F.col(final_url)).endswith(".onion")) if onion else out

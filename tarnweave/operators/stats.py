@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MEASURES = ("requests", "timeouts", "workers", "domains", "download_speed", "download_time", "download_size", "memory_alloc", "memory_sys")
+GAUGES = ("workers", "domains", "memory_alloc", "memory_sys")
 WINDOW = "60 seconds"
+CELLS = 4096
 ALLOC_MOST, ALLOC_GROW = 7_000_000, 6_200_000
 
 
@@ -26,11 +28,31 @@ def minute_stats(downloads: DataFrame, ts: str = "ts", size: str = "size", durat
 
 
 def average_stats(stats: DataFrame, group: list[str], order: str, measures: tuple[str, ...] = MEASURES) -> DataFrame:
-    """Truncating integer means of the measures, dated by the middle row of each group in ``order``."""
+    """Truncating integer means of the measures, dated by the middle row of each group in ``order`` (a number, no two equal).
+
+    The middle row comes from two aggregates, not from a sorted group: rows are counted in ``CELLS`` cells
+    of the group's range of ``order``, and only the cell that the middle falls into is ranked.
+    """
     means = [F.expr(f"sum(`{m}`) div count(*)").alias(m) for m in measures]
-    middle = F.sort_array(F.collect_list(F.struct(order, "date")))
-    out = stats.groupBy(*group).agg(*means, F.element_at(middle, (F.count("*") / 2).cast("int") + 1)["date"].alias("date"))
-    return out.select(*group, "date", *measures)
+    totals = stats.groupBy(*group).agg(*means, F.count("*").alias("_rows"), F.min(order).alias("_low"), F.max(order).alias("_high"))
+    edge = totals.select(*group, "_rows", "_low", ((F.col("_high") - F.col("_low")) / CELLS + 1).alias("_step"))
+    celled = stats.select(*group, order, "date").join(edge, group).withColumn("_cell", F.floor((F.col(order) - F.col("_low")) / F.col("_step")))
+    sizes = celled.groupBy(*group, "_cell").agg(F.count("*").alias("_n"), F.first("_rows").alias("_rows"))
+    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy("_cell"))
+    middle = F.floor(F.col("_rows") / 2)
+    cell = sizes.withColumn("_upto", upto).where((F.col("_upto") > middle) & (F.col("_upto") - F.col("_n") <= middle))
+    inside = celled.drop("_rows").join(cell.select(*group, "_cell", (middle - F.col("_upto") + F.col("_n") + 1).alias("_place")), [*group, "_cell"])
+    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(order))).where(F.col("_r") == F.col("_place"))
+    return totals.join(ranked.select(*group, "date"), group).select(*group, "date", *measures)
+
+
+def stats_row(windows: DataFrame, gauges: DataFrame) -> DataFrame:
+    """Statistics rows with all nine measures: minute windows with the gauges (date, workers, domains, memory_alloc,
+    memory_sys) of their end; a window without gauges has zeros there.
+    """
+    gauge = gauges.groupBy(F.window(F.col("date").cast("timestamp"), WINDOW).alias("w")).agg(*(F.max_by(g, "date").alias(g) for g in GAUGES))
+    rows = windows.drop("domains").join(gauge.select(F.col("w.start").alias("date"), *GAUGES), "date", "left")
+    return rows.select("date", *(F.coalesce(m, F.lit(0)).cast("long").alias(m) for m in MEASURES))
 
 
 def capacity_action(alloc_kb: Column, timeouts: Column, available: Column, least: int, most: int) -> Column:
@@ -59,8 +81,6 @@ def fold_capacity(actions: list[str], capacity: int, most: int, proxied: bool =
 
 
 def assign_clients(requests: DataFrame, order: str, clients: int, used: int = 0) -> DataFrame:
-    """Clients for the requests that fit the free capacity, in turn."""
-    from pyspark.sql import Window
-
+    """Clients for the requests that fit the free capacity, in turn; at most ``clients`` rows reach the rank."""
     free = requests.orderBy(order).limit(max(0, clients - used))
-    return free.withColumn("client", F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(max(1, clients))).cast("int"))
+    return free.withColumn("client", F.pmod(F.row_number().over(Window.orderBy(order)) - 1 + used, F.lit(max(1, clients))).cast("int"))

@@ -314,7 +314,32 @@ def f_route(spark, sf_dir):
     return _frontier(spark, sf_dir).select("seq", to.alias("target"))
 
 
-@register()
+_KNOWN = f"(select * from (select *, row_number() over (partition by {_KEYS} order by seq) as n from {_FRONTIER_SQL} t) x where n = 1)"
+_REFS = f"""(select host, subdomain, key as uri_key, case when key like '/new%' then key else url end as url, seq % 4 <> 0 as internal, depth as source_depth, cycle as source_cycle, seq
+ from (select *, unnest([uri_key, '/new' || uri_key]) as key from {_FRONTIER_SQL} t) x)"""
+#: References per item, beside the known item; then what they do to it.
+_UPSERT = f"""
+with refs as (
+  select {_KEYS}, min(seq) as first_seq, arg_min(url, seq) as first_url, bool_or(not internal) as outside, bool_or(internal) as inside, min(case when internal then source_depth + 1 end) as near, max(case when internal then source_cycle end) as top from {_REFS} r group by {_KEYS}
+), newest as (
+  select {_KEYS}, min(source_depth + 1) as top_near from {_REFS} r join refs using ({_KEYS}) where internal and source_cycle = top group by {_KEYS}
+), joined as (
+  select {_KEYS}, f.url, f.depth, f.cycle, coalesce(f.ignore, false) as ignore, coalesce(f.fail_count, 0) as fail_count, f.last_started, f.last_download, f.queue, f.seq, f.depth is not null as known, first_seq, first_url, coalesce(outside, false) as outside, coalesce(inside, false) as inside, near, top_near, coalesce(inside and top > coalesce(f.cycle, 0), false) as newer, top
+  from {_KNOWN} f full join refs using ({_KEYS}) left join newest using ({_KEYS})
+), placed as (
+  select *, {_DUE} as due, case when first_seq is null then depth when outside then 0 when newer then top_near else least(depth, near) end as new_depth from joined
+), moved as (
+  select *, case when first_seq is null or fail_count > 6 or ignore or (fail_count > 0 and not due) then queue
+    when new_depth < 3 and queue in ('queue', 'low') then 'priority'
+    when queue is null and (not known or (inside and newer)) and new_depth < 3 then 'priority'
+    when queue is null and not known then 'queue' when queue is null and inside and newer then 'low'
+    when queue = 'failqueue' and due and new_depth < 3 then 'priority' when queue = 'failqueue' and due then 'low' else queue end as target from placed
+)
+select {_KEYS}, coalesce(url, first_url) as url, cast(new_depth as int) as depth, cast(case when newer then top else coalesce(cycle, 0) end as int) as cycle, ignore, cast(fail_count as int) as fail_count, last_started, last_download, target as queue, case when first_seq is not null and target is distinct from queue then first_seq else seq end as seq from moved
+"""
+
+
+@register(_UPSERT)
 def f_upsert(spark, sf_dir):
     """All orders are the frontier; each refers to its own item and to one that isn't known."""
     items = frontier.deduplicate(_frontier(spark, sf_dir), ["host", "subdomain", "uri_key"], ["seq"])
@@ -347,13 +372,16 @@ def f_classify(spark, sf_dir):
     return e.select("event_id", frontier.classify(F.col("status"), F.col("error"), F.col("is_html"), F.col("size")).alias("outcome"))
 
 
-_HOSTS = "'h' || cast(c_custkey % 97 as varchar(9)) as host, cast(c_custkey % 9 as int) as fail_streak, timestamp '1998-08-03 00:00:00' as last_fail_streak"
-_HOSTS_SQL = f"(select {_HOSTS} from customer where c_custkey < 97)"
+#: Hosts out of all customers: the streak is their sum, the last one began with the largest key's minute.
+_HOSTS = "'h' || cast(c_custkey % 97 as varchar(9)) as host, c_custkey"
+_HOSTS_SQL = f"(select host, cast(sum(c_custkey) % 9 as int) as fail_streak, timestamp '1998-08-03 00:00:00' + max(c_custkey) % 720 * interval '1 minute' as last_fail_streak from (select {_HOSTS} from customer) t group by host)"
 _RESTS = f"(epoch({_NOW}) - epoch(last_fail_streak) < 3600 * floor(fail_streak * fail_streak / 2.0))"
 
 
 def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey < 97").selectExpr(*_split(_HOSTS))
+    rows = table(spark, sf_dir, "customer").selectExpr(*_split(_HOSTS))
+    since = F.timestamp_add("MINUTE", (F.max("c_custkey") % 720).cast("int"), F.lit("1998-08-03 00:00:00").cast("timestamp"))
+    return rows.groupBy("host").agg((F.sum("c_custkey") % 9).cast("int").alias("fail_streak"), since.alias("last_fail_streak"))
 
 
 @register(f"select host, {_RESTS} as rests from {_HOSTS_SQL} t")
@@ -380,8 +408,7 @@ _RECRAWL = f"(select host, cast(43200 - (epoch({_NOW}) - epoch(arg_min(last_down
 @register(f"select host, due_in, row_number() over (order by due_in, host) as place from {_RECRAWL} r")
 def f_recrawl_order(spark, sf_dir):
     due = frontier.recrawl_due_seconds(frontier.introduction_points(_frontier(spark, sf_dir)), _now())
-    due.createOrReplaceTempView("_recrawl_due")
-    return spark.sql("select host, due_in, row_number() over (order by due_in, host) as place from _recrawl_due")
+    return frontier.recrawl_order(due)
 
 
 @register(f"select host, due_in from {_RECRAWL} r order by due_in, host limit 20")
@@ -408,11 +435,11 @@ def s_item_codec(spark, sf_dir):
     return decode_items(lines).where("valid").select("seq", "url", "depth", "cycle", "ignore", "fail_count", "last_started", "queue")
 
 
-@register("""select date, requests, timeouts, cast(floor(size / 60 / 1024) as bigint) as download_speed, case when requests > 0 then cast(floor(spent / requests) as bigint) else 0 end as download_time, case when requests > 0 then cast(floor(size / requests / 1024) as bigint) else 0 end as download_size from
- (select time_bucket(interval '60 seconds', ts) as date, count(*) filter (where event_type <> 'error') as requests, count(*) filter (where event_type = 'error') as timeouts, coalesce(sum(case when event_type <> 'error' then size end), 0) as size, coalesce(sum(case when event_type <> 'error' then spent end), 0) as spent
- from (select ts, event_type, cast(floor(value * 1000) as bigint) as size, cast(floor(value) as bigint) as spent from events) e group by 1) t""")
+@register("""select date, requests, timeouts, domains, cast(floor(size / 60 / 1024) as bigint) as download_speed, case when requests > 0 then cast(floor(spent / requests) as bigint) else 0 end as download_time, case when requests > 0 then cast(floor(size / requests / 1024) as bigint) else 0 end as download_size from
+ (select time_bucket(interval '60 seconds', ts) as date, count(*) filter (where event_type <> 'error') as requests, count(*) filter (where event_type = 'error') as timeouts, count(distinct user_id) as domains, coalesce(sum(case when event_type <> 'error' then size end), 0) as size, coalesce(sum(case when event_type <> 'error' then spent end), 0) as spent
+ from (select ts, event_type, user_id, cast(floor(value * 1000) as bigint) as size, cast(floor(value) as bigint) as spent from events) e group by 1) t""")
 def g_tumbling(spark, sf_dir):
-    return stats.minute_stats(downloads(spark, sf_dir)).drop("domains").withColumn("date", F.col("date").cast("timestamp_ntz"))
+    return stats.minute_stats(downloads(spark, sf_dir)).withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
 def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:

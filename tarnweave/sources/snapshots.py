@@ -120,3 +120,47 @@ def snapshot_texts(hosts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r["host"] for r in rows], pa.string()), pa.array([format_snapshot(r) for r in rows], pa.string())], names=["host", "text"])
 
     return hosts.mapInArrow(run, "host string, text string")
+
+
+def host_rows(snapshots: DataFrame) -> DataFrame:
+    """Snapshot rows as rows of the hosts table: on disk, idle, in the order of their names."""
+    no = F.lit(False)
+    return snapshots.select("host", "scheme", "fail_streak", "fail_count", parse_time(F.col("last_fail_streak")).cast("timestamp").alias("last_fail_streak"), "latest_cycle", F.lit(0).cast("long").alias("seq"), no.alias("sleeping"), no.alias("running"), no.alias("in_memory"), no.alias("woken"), no.alias("recrawl_later"), F.lit(0).alias("turn"))
+
+
+def to_snapshots(frontier: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Hosts and their items as snapshot rows, as ``snapshot_texts`` and ``read_snapshots`` have them.
+
+    Subdomains are numbered by name; a host's items go to one row, as they go to one file.
+    """
+    c = F.col
+    subs = frontier.groupBy("host").agg(F.sort_array(F.collect_set("subdomain")).alias("_subs"))
+    level = F.when(c("queue") == "failqueue", c("fail_count"))
+    line = encode_item(c("url"), c("depth"), c("cycle"), c("ignore"), c("fail_count"), c("last_download"), c("last_started"), F.array_position("_subs", c("subdomain")) - 1)
+    item = F.struct(c("queue").alias("queue"), level.cast("int").alias("level"), c("seq"), line.alias("line"))
+    items = frontier.join(subs, "host").groupBy("host").agg(F.first("_subs").alias("_subs"), F.sort_array(F.collect_list(item)).alias("_items"))
+    rows = hosts.join(items, "host", "left")
+    own = F.transform(F.coalesce("_items", F.array().cast("array<struct<queue:string,level:int,seq:bigint,line:string>>")), lambda x, i: F.struct(x["queue"].alias("queue"), x["level"].alias("level"), i.alias("seq"), x["line"].alias("line")))
+    names = F.transform(F.coalesce("_subs", F.array().cast("array<string>")), lambda x: F.concat(c("scheme"), F.lit("://"), x))
+    stamp = F.when(c("last_fail_streak").isNotNull(), format_time(c("last_fail_streak")))
+    return rows.select("host", "scheme", "fail_streak", "fail_count", stamp.alias("last_fail_streak"), "latest_cycle", names.alias("subdomains"), own.alias("items"))
+
+
+def write_snapshots(snapshots: DataFrame, path: str) -> None:
+    """One file ``host_<host>.txt`` per host, written by the tasks through the file system of ``path``."""
+    texts = snapshot_texts(snapshots)
+    spark = snapshots.sparkSession
+    # the text writer names files itself: one folder per host, then each file gets its name
+    texts.select("text", "host").repartition("host").write.mode("overwrite").partitionBy("host").option("lineSep", "\n\n").text(f"{path}/_parts")
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{path}/_parts")
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for folder in fs.listStatus(root):
+        name = folder.getPath().getName()
+        if name.startswith("host="):
+            for file in fs.listStatus(folder.getPath()):
+                if file.getPath().getName().startswith("part-"):
+                    target = jvm.org.apache.hadoop.fs.Path(f"{path}/host_{name[5:]}.txt")
+                    fs.delete(target, False)
+                    fs.rename(file.getPath(), target)
+    fs.delete(root, True)

@@ -1,8 +1,8 @@
 """The frontier and the crawl round over micro-batches.
 
-State is a Parquet table per batch id: batch n reads the state that batch n - 1 wrote and writes
-its own, so a batch that is repeated after a failure finds the state it found before and leaves the
-same result. References of a batch are reduced to one row per item before the join.
+State is a version per batch id in a bucketed store: batch n reads the buckets that its hosts are in as batch
+n - 1 left them and rewrites those alone, so a batch that is repeated after a failure finds the state it
+found before and leaves the same result. References of a batch are reduced to one row per item before the join.
 """
 
 from __future__ import annotations
@@ -18,6 +18,11 @@ from ..functions.html import extract
 from ..operators.frontier import FRONTIER, upsert
 from ..operators.matching import result_rows
 from ..plans.ast import Query
+from ..sources.state import Store
+
+
+#: More links than a page of the largest size has room for.
+LINKS_PER_PAGE = 1 << 18
 
 
 def links_of(pages: DataFrame, onion: bool = False) -> DataFrame:
@@ -32,7 +37,7 @@ def links_of(pages: DataFrame, onion: bool = False) -> DataFrame:
     rows = rows.withColumns({"subdomain": name, "_domain": urls.registered_domain(name, onion)})
     return rows.select(
         F.col("_domain").alias("host"), "subdomain", urls.uri_key(F.col("_url")).alias("uri_key"), urls.relative(F.col("_url")).alias("url"),
-        (F.col("_domain") == F.col("host")).alias("internal"), F.col("depth").alias("source_depth"), F.col("cycle").alias("source_cycle"), (F.col("seq") * 100_000 + F.col("_at")).alias("seq"),
+        (F.col("_domain") == F.col("host")).alias("internal"), F.col("depth").alias("source_depth"), F.col("cycle").alias("source_cycle"), (F.col("seq") * LINKS_PER_PAGE + F.col("_at")).alias("seq"),
     )
 
 
@@ -54,24 +59,26 @@ def empty_frontier(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FRONTIER)
 
 
-def frontier_sink(spark: SparkSession, path: str, now: Column) -> Callable[[DataFrame, int], None]:
+def frontier_sink(path: str, now: Column) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that upserts reference rows into the versions of a frontier under ``path``."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        before = session.read.schema(FRONTIER).parquet(f"{path}/version={epoch - 1}") if epoch else empty_frontier(session)
-        upsert(before, batch, now).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        store = Store(batch.sparkSession, path)
+        touched = store.touched(batch)
+        before = store.read("frontier", FRONTIER, epoch - 1, touched)
+        store.write(epoch, {"frontier": (upsert(before, batch, now), touched)})
+        store.forget()
 
     return apply
 
 
 def stream_frontier(references: DataFrame, path: str, checkpoint: str, now: Column) -> StreamingQuery:
     """Run a stream of references into a frontier until all that is there has been read."""
-    sink = frontier_sink(references.sparkSession, path, now)
-    query = references.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = references.writeStream.foreachBatch(frontier_sink(path, now)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
-def latest_frontier(spark: SparkSession, path: str, epoch: int) -> DataFrame:
-    return spark.read.schema(FRONTIER).parquet(f"{path}/version={epoch}")
+def latest_frontier(spark: SparkSession, path: str) -> DataFrame:
+    store = Store(spark, path)
+    return store.read("frontier", FRONTIER, store.latest())

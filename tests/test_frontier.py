@@ -56,19 +56,11 @@ def test_backoff_constants():
     assert fr.BACKOFF_MINUTES == {1: 1, 2: 8, 3: 68, 4: 571, 5: 4745, 6: 39390}
 
 
-def test_lifecycle_and_hosts(spark):
-    item = spark.createDataFrame([("h", "s", "/", "/", 0, 0, False, 6, None, None, "queue", 1)], fr.FRONTIER)
-    assert fr.failed(item).first().queue is None and fr.failed(item).first().fail_count == 7
-    done = fr.finished(fr.started(item, now()), now()).first()
-    assert done.fail_count == 0 and done.last_started is None and done.last_download is not None
-    assert fr.ignored(item).first().ignore
-    out = spark.createDataFrame([("a", "failed", 0)] * 41 + [("b", "failed_new_streak", 0), ("c", "failed", 1)], "host string, outcome string, fail_count int")
-    assert {r.host: r.new_streak for r in fr.fail_streaks(out).collect()} == {"a": True, "b": True, "c": False}
+def test_load_resets(spark):
     hosts = spark.createDataFrame([("h", 3, None, 4)], "host string, fail_streak int, last_fail_streak timestamp, latest_cycle int")
     assert fr.load_resets(hosts, False, True).first().recrawl is False and fr.load_resets(hosts, True, True).first().recrawl is True
-    moved, fresh = fr.recrawl(item, item, hosts)
-    assert moved.first().queue == "priority" and moved.first().cycle == 5 and fresh.first().latest_cycle == 5
-    assert fr.same_frontier(item, item) and not fr.same_frontier(item, fr.failed(item))
+    item = spark.createDataFrame([("h", "s", "/", "/", 0, 0, False, 6, None, None, "queue", 1)], fr.FRONTIER)
+    assert fr.same_frontier(item, item) and not fr.same_frontier(item, item.withColumn("depth", F.lit(1)))
 
 
 def test_levels_and_admission(spark):
@@ -76,6 +68,9 @@ def test_levels_and_admission(spark):
     assert {r.node: r.depth for r in fr.link_levels(spark.createDataFrame([(1,)], "node long"), edges).collect()} == {1: 0, 2: 1, 3: 1}
     sleeping = spark.createDataFrame([("a", 2), ("b", 1)], "host string, seq long")
     assert [r.host for r in fr.admission(sleeping, 5, 4).collect()] == ["b"]
+    chain = spark.range(60).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    assert fr.link_levels(spark.createDataFrame([(0,)], "node long"), chain).agg(F.max("depth")).first()[0] == 60
+    assert fr.link_levels(spark.createDataFrame([(0,)], "node long"), chain, 2).count() == 3
 
 
 def test_capacity():
@@ -135,7 +130,7 @@ def test_frontier_stream_equals_batch(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     frontier_stream.stream_frontier(stream, str(tmp_path / "state"), str(tmp_path / "ck"), now())
-    got = frontier_stream.latest_frontier(spark, str(tmp_path / "state"), 0)
+    got = frontier_stream.latest_frontier(spark, str(tmp_path / "state"))
     assert fr.same_frontier(got, fr.upsert(frontier_stream.empty_frontier(spark), df, now()))
 
 
