@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.snippets import clean
+from .text import lower_text
 from .urls import parses
 
 #: Elements whose content is text up to their end tag; in the first group entities count.
@@ -148,7 +149,7 @@ def read(doc: str, links: bool = True) -> tuple[str, str | None, list[str]]:
     for kind, data, attrs in tokens(doc):
         if kind == "text":
             if not hidden and not head:
-                out.append("\0" + data.lower())
+                out.append("\0" + lower_text(data))
             if title == 1:
                 name = clean(data)
         elif kind in ("start", "end"):

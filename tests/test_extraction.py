@@ -52,7 +52,7 @@ def test_urls(spark):
     r = df.select(urls.host(c).alias("h"), urls.registered_domain(urls.host(c)).alias("d"), urls.relative(c).alias("r"), urls.uri_key(c).alias("k"), urls.crawlable(c).alias("c"), urls.origin(c).alias("o")).collect()
     assert tuple(r[0]) == ("www.site.com:80", "site.com:80", "/p/?a=%09b", "/p/?a=%09b", True, "http://user@www.site.com:80")
     assert r[1].d is None and not r[1].c and not r[2].c
-    assert df.limit(1).select(urls.uri_key(F.lit("http://a.b/")).alias("k"), urls.uri_key(F.lit("http://a.b")).alias("l"), urls.absolute(F.lit("http://a.b"), F.lit("/x")).alias("m")).first() == ("", "", "http://a.b/x")
+    assert df.limit(1).select(urls.uri_key(F.lit("http://a.b/")).alias("k"), urls.uri_key(F.lit("http://a.b")).alias("l"), urls.request_url(F.lit("http://a.b"), F.lit("/x")).alias("m")).first() == ("", "", "http://a.b/x")
 
 
 def test_bucket_wraps(spark):
