@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import hashing, html, urls
-from .operators import frontier, matching, stats
+from .operators import frontier, lifecycle, matching, queues, stats
 from .plans.ast import AnyOf, Query, Regexp, Text, both, either
 from .plans.compile import first_of_list, predicate
+from .sources import snapshots
 from .sources.snapshots import decode_items, encode_item
 from .sources.tables import table
 
@@ -173,7 +174,15 @@ def p_link_count(spark, sf_dir):
     return _extracted(spark, sf_dir).select("page_id", F.size("links").cast("long").alias("n_links"))
 
 
-@register()
+#: Visible text out of the pages: hidden elements and comments go, every other text follows a NUL.
+_BARE = r"regexp_replace(regexp_replace(html, '(?is)<(head|script|style|noscript)[ >].*?</(head|script|style|noscript)>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g')"
+_UNESCAPED = "x"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")):
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_entity}', '{_char}')"
+_VISIBLE = f"(select page_id, lower(list_aggregate(list_transform(list_filter(regexp_split_to_array({_BARE}, '<[^>]*>'), lambda x: x <> ''), lambda x: chr(0) || {_UNESCAPED}), 'string_agg', '')) as text from pages)"
+
+
+@register(f"select page_id, text from {_VISIBLE} v")
 def p_visible_text(spark, sf_dir):
     return _extracted(spark, sf_dir).select("page_id", "text")
 
@@ -188,7 +197,7 @@ def p_sniff(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", html.is_html(F.col("html")).alias("is_html"))
 
 
-@register()
+@register(" union all ".join(f"select '{q.name}' as query_id, page_id from {_VISIBLE} v where {sql}" for q, sql in STORED))
 def p_page_query(spark, sf_dir):
     return matching.matches(_extracted(spark, sf_dir).select("page_id", "text"), [q for q, _ in STORED], lowered=True).select("query_id", "page_id")
 
@@ -242,6 +251,18 @@ def u_internal_external(spark, sf_dir):
     return rows.groupBy("domain").agg(F.count_if(inside).alias("n_internal"), F.count_if(~inside).alias("n_external"))
 
 
+_RESOLVED = rf"case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then link when link like '/%' then regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || link else regexp_extract(url, '^([a-z]+://[^/?#]*[^?#]*/)', 1) || link end"
+
+
+@register(f"select page_id, target from (select page_id, url, {_RESOLVED} as target from ({_LINKS}) t) x where regexp_extract(regexp_extract(target, '^[a-z]+://([^/?#]*)', 1), '([^.]+[.][^.]+)$', 1) <> {_DOMAIN}")
+def u_split_links(spark, sf_dir):
+    """The links that leave their page's registered domain."""
+    rows = _extracted(spark, sf_dir).select("page_id", "url", F.explode("links").alias("link"))
+    domain = urls.registered_domain(urls.host(F.col("url")))
+    rows = rows.select("page_id", domain.alias("host"), urls.resolve(F.regexp_replace("url", "#.*$", ""), F.col("link")).alias("target"))
+    return frontier.split_links(rows, "target")[1].select("page_id", "target")
+
+
 # ---- frontier ----------------------------------------------------------------------------------
 
 #: A frontier over ``orders``, in SQL that both engines read; times in seconds before a fixed now.
@@ -423,6 +444,66 @@ def f_admission(spark, sf_dir):
     return frontier.admit_hosts(_frontier(spark, sf_dir), known, known.count() + 30)
 
 
+_QUEUED = "'q' || cast(o_custkey % 11 as varchar(9)) as queue, 'i' || cast(o_orderkey * 7 % 5003 as varchar(9)) as item, o_orderkey as seq"
+
+
+@register(f"""with pushed as (select item, arg_min(queue, seq) as queue, min(seq) + 1 as seq from (select {_QUEUED} from orders) t group by item),
+ waiting as (select *, row_number() over (partition by queue order by seq) as n from pushed)
+ select queue, arg_min(item, seq) as first, arg_max(item, seq) as last, count(*) as length from waiting where n > 2 and item not like '%7' group by queue""")
+def f_queue_ends(spark, sf_dir):
+    """Push all orders, pop two of each queue, remove some, look at the ends."""
+    items = table(spark, sf_dir, "orders").selectExpr(*_split(_QUEUED))
+    waiting, _ = queues.push(items.limit(0), items)
+    _, waiting = queues.pop(waiting, 2)
+    return queues.ends(queues.remove(waiting, items.where("item like '%7'").select("item").distinct()))
+
+
+@register(f"""with waiting as (select 'q' || cast(queue as varchar(9)) as queue, item, row_number() over (partition by queue order by seq) as n, seq from (select arg_min(o_custkey % 11, o_orderkey) as queue, 'i' || cast(o_orderkey * 7 % 5003 as varchar(9)) as item, min(o_orderkey) + 1 as seq from orders group by item) t),
+ shift as (select (select max(seq) from waiting where queue = 'q1') - (select min(seq) from waiting where queue = 'q2') + 1 as s)
+ select case queue when 'q2' then 'q1' else queue end as queue, item, cast(case queue when 'q2' then seq + s else seq end as bigint) as seq from waiting, shift where queue <> 'q3'""")
+def f_queue_merge(spark, sf_dir):
+    """Push all orders, merge the second queue into the first, clear the third."""
+    items = table(spark, sf_dir, "orders").selectExpr(*_split(_QUEUED))
+    waiting, _ = queues.push(items.limit(0), items)
+    return queues.clear(queues.merge(waiting, "q1", "q2"), "q3").select("queue", "item", "seq")
+
+
+@register(f"select host, fail_count, seq from (select *, min(fail_count) over (partition by host) as low from {_HEADS} h) x where fail_count = low")
+def f_leveled_pop(spark, sf_dir):
+    levels = _frontier(spark, sf_dir).where("queue = 'failqueue'").select(F.col("host").alias("queue"), F.col("seq").alias("item"), "seq", F.col("fail_count").alias("level"), "last_started")
+    taken, _ = queues.pop_due(levels, frontier.retry_due(F.col("last_started"), F.col("level"), _now()))
+    return taken.select(F.col("queue").alias("host"), F.col("level").alias("fail_count"), "seq")
+
+
+_ITEM_OUTCOME = "cast(case seq % 13 when 1 then 429 when 2 then 404 when 3 then 410 when 4 then 503 else 200 end as int) as status, case seq % 13 when 5 then 'EOF' when 6 then 'context canceled' when 7 then 'stopped after 10 redirects' end as error, seq % 13 <> 8 as is_html, seq as size, 'http' as scheme, case when seq % 13 = 9 then 'http://elsewhere.org/' else 'http://x.' || host || '/' end as final_url"
+_NAMED = _ITEMS.replace("as host", "|| '.com' as host", 1)
+_NAMED_SQL = f"(select * from (select *, row_number() over (partition by {_KEYS} order by seq) as n from (select {_NAMED} from orders) t) x where n = 1)"
+
+
+@register(f"""with o as (select *, case when seq % 13 in (5, 1, 4) then 'failed' when seq % 13 = 3 then 'late' when seq % 13 = 6 then 'requeued' when seq % 13 in (2, 7, 8, 9) then 'ignored' else 'finished' end as outcome from {_NAMED_SQL} i),
+ done as (select *, case outcome when 'finished' then 0 when 'failed' then fail_count + 1 when 'late' then greatest(fail_count, 4) + 1 else fail_count end as fails, ignore or outcome = 'ignored' as gone,
+  case when outcome = 'finished' and depth = 0 then row_number() over (partition by host, outcome = 'finished' and depth = 0 order by seq) end as nth from o)
+ select {_KEYS}, fails as fail_count, gone as ignore, case when nth <= 10 or (nth is not null and url in ('/', '')) then 'introduction' when outcome in ('failed', 'late', 'requeued') and fails <= 6 and not gone then 'failqueue' end as queue,
+  case when outcome = 'finished' then {_NOW} else last_download end as last_download from done""")
+def f_outcomes(spark, sf_dir):
+    """What becomes of the items after a turn in which each was requested."""
+    items = frontier.deduplicate(table(spark, sf_dir, "orders").selectExpr(*_split(_NAMED)), lifecycle.KEYS, ["seq"])
+    outcomes = items.selectExpr(*lifecycle.KEYS, "cast(seq as int) as place", *_split(_ITEM_OUTCOME))
+    hosts = lifecycle.new_hosts(spark.createDataFrame([], lifecycle.HOSTS), items)
+    after, _ = lifecycle.apply_outcomes(items, hosts, lifecycle.judged(outcomes), _now())
+    return after.select(*lifecycle.KEYS, "fail_count", "ignore", "queue", F.col("last_download").cast("timestamp_ntz").alias("last_download"))
+
+
+@register(f"select r.host, count(*) as n_waiting, count(*) > 50 as woken from {_FRONTIER_SQL} r join {_HOSTS_SQL} h on r.host = h.host where not {_RESTS} group by r.host")
+def f_pending(spark, sf_dir):
+    """References to hosts on disk: those to resting hosts are dropped, the others wait, and many wake their host."""
+    refs = _frontier(spark, sf_dir).select("host", "subdomain", "uri_key", "url", F.lit(False).alias("internal"), F.lit(0).alias("source_depth"), F.lit(0).alias("source_cycle"), "seq")
+    fresh = lifecycle.new_hosts(spark.createDataFrame([], lifecycle.HOSTS), refs).drop("fail_streak", "last_fail_streak").withColumn("in_memory", F.lit(False))
+    hosts = fresh.join(_hosts(spark, sf_dir), "host").select(*(f.split()[0] for f in lifecycle.HOSTS.split(", ")))
+    _, after, waiting = lifecycle.add_references(spark.createDataFrame([], frontier.FRONTIER), hosts, spark.createDataFrame([], lifecycle.PENDING), refs, _now())
+    return waiting.groupBy("host").agg(F.count("*").alias("n_waiting")).join(after.select("host", "woken"), "host")
+
+
 # ---- snapshots, statistics, hash ---------------------------------------------------------------
 
 
@@ -435,6 +516,33 @@ def s_item_codec(spark, sf_dir):
     return decode_items(lines).where("valid").select("seq", "url", "depth", "cycle", "ignore", "fail_count", "last_started", "queue")
 
 
+@register(f"select host, subdomain, url, depth, cycle, ignore, fail_count, case when fail_count <= 6 then queue end as queue from {_FRONTIER_SQL} t")
+def s_snapshots(spark, sf_dir):
+    """Hosts and items as snapshot texts and back."""
+    items = _frontier(spark, sf_dir).withColumn("queue", F.when(F.col("fail_count") <= 6, F.col("queue")))
+    hosts = lifecycle.new_hosts(spark.createDataFrame([], lifecycle.HOSTS), items)
+    files = snapshots.read_snapshots(snapshots.snapshot_texts(snapshots.to_snapshots(items, hosts)).select("text"))
+    return snapshots.snapshot_items(files).select("host", F.regexp_replace("subdomain", "^http://", "").alias("subdomain"), "url", "depth", "cycle", "ignore", "fail_count", "queue")
+
+
+_GAUGE_ROWS = "ts as date, event_id % 560 as workers, user_id % 97 as domains, event_id * 13 % 7000000 as memory_alloc, event_id * 17 % 9000000 as memory_sys"
+
+
+@register(f"""with w as (select time_bucket(interval '60 seconds', ts) as date, count(*) filter (where event_type <> 'error') as requests, count(*) filter (where event_type = 'error') as timeouts,
+  coalesce(sum(case when event_type <> 'error' then cast(floor(value * 1000) as bigint) end), 0) as size, coalesce(sum(case when event_type <> 'error' then cast(floor(value) as bigint) end), 0) as spent from events group by 1),
+ g as (select time_bucket(interval '60 seconds', date) as date, arg_max(workers, date) as workers, arg_max(domains, date) as domains, arg_max(memory_alloc, date) as memory_alloc, arg_max(memory_sys, date) as memory_sys from (select {_GAUGE_ROWS} from events) e group by 1)
+ select date, requests, timeouts, workers, domains, cast(floor(size / 60 / 1024) as bigint) as download_speed, case when requests > 0 then cast(floor(spent / requests) as bigint) else 0 end as download_time,
+  case when requests > 0 then cast(floor(size / requests / 1024) as bigint) else 0 end as download_size, memory_alloc, memory_sys from w join g using (date)""")
+def g_stats_row(spark, sf_dir):
+    gauges = table(spark, sf_dir, "events").selectExpr(*_split(_GAUGE_ROWS))
+    return stats.stats_row(stats.minute_stats(downloads(spark, sf_dir)), gauges).withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+@register("select o_orderkey, cast((row_number() over (order by o_orderkey) - 1 + 7) % 40 as int) as client from (select * from orders order by o_orderkey limit 33) t")
+def g_clients(spark, sf_dir):
+    return stats.assign_clients(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 40, 7)
+
+
 @register("""select date, requests, timeouts, domains, cast(floor(size / 60 / 1024) as bigint) as download_speed, case when requests > 0 then cast(floor(spent / requests) as bigint) else 0 end as download_time, case when requests > 0 then cast(floor(size / requests / 1024) as bigint) else 0 end as download_size from
  (select time_bucket(interval '60 seconds', ts) as date, count(*) filter (where event_type <> 'error') as requests, count(*) filter (where event_type = 'error') as timeouts, count(distinct user_id) as domains, coalesce(sum(case when event_type <> 'error' then size end), 0) as size, coalesce(sum(case when event_type <> 'error' then spent end), 0) as spent
  from (select ts, event_type, user_id, cast(floor(value * 1000) as bigint) as size, cast(floor(value) as bigint) as spent from events) e group by 1) t""")
