@@ -50,11 +50,13 @@ from .suffix_hash import PrefixHash, base_of, equal_spans, equal_windows, mix, r
 WIDTH = 100
 GRAM = 32
 BLOCK_BYTES = 4_000_000
-PART_RUNS = 500_000
+PART_RUNS = 250_000
 BLOCKS_PER_TASK = 4
 #: Different runs of one anchor from which its windows are dealt out one by one.
 HOT = 2_000
 #: Blocks that share a run (or parts of all blocks, for windows of hot anchors) per part that compares it.
+#: Bytes of one row of runs or windows.
+CELL_BYTES = 400_000
 SHARE = 256
 SALTS = 64
 ATTEMPTS = 8
@@ -213,14 +215,19 @@ def _apply(bits: int, width: int, gram: int, seed: int) -> Callable:
     """Whole runs that are repeated and their bytes, and the bytes of those that may be repeated in part."""
 
     def cells(block: int, kind: int, keys: np.ndarray, data: np.ndarray, first: np.ndarray, windows: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
-        """One row per part: keys, first, windows, more, bytes."""
+        """Rows of a part, of bounded size: keys, first, windows, more, bytes."""
         order = np.argsort(keys, kind="stable")
         cut = _bounds(keys[order], bits)
         for p in range(1 << bits):
-            at = order[cut[p] : cut[p + 1]]
-            if len(at):
+            mine = order[cut[p] : cut[p + 1]]
+            size = np.cumsum(windows[mine] + width - 1)
+            lo = 0
+            while lo < len(mine):
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + CELL_BYTES, "right")))
+                at = mine[lo:hi]
                 w, k = _spread(at, windows[at] + width - 1)
-                yield block, kind, p, 0, put_arrays(keys[at], first[at], windows[at], *(x[at] for x in more), data[first[at][w] + k].tobytes())
+                yield block, kind, p, 0, put_arrays(keys[at], first[at], windows[at], *(x[at] for x in more), data[first[at][w] + k].tobytes(), level=3)
+                lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, raw, rows in _assemble(batches):
@@ -277,6 +284,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [get_arrays(x.as_py()) for x in group.column("data")]
         keys, windows, code = (np.concatenate([g[i] for g in got]) for i in (0, 2, 3))
         data = np.frombuffer(b"".join(g[4] for g in got), np.uint8)
+        del got
         spare = (len(data) - windows.sum()) // max(1, len(windows))
         length = windows + spare
         span = np.cumsum(length) - length
@@ -335,6 +343,7 @@ def _sorted_parts(width: int, seed: int, bits: int | None = None) -> Callable:
             block = np.concatenate([g[7] if len(g) > 7 else np.full(len(g[0]), b, np.int64) for g, b in zip(got, group.column("block").to_pylist(), strict=True)])
             keys, first, windows, ids, start, place = (np.concatenate([g[i] for g in got]) for i in range(6))
             data = np.frombuffer(b"".join(g[6] for g in got), np.uint8)
+            del got
             length = windows + width - 1
             span = np.cumsum(length) - length
             order = np.argsort(keys, kind="stable")

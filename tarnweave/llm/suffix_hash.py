@@ -205,12 +205,13 @@ def suffix_sort(data: np.ndarray, ph: PrefixHash, suffixes: np.ndarray, groups:
 def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Direct comparison of spans, byte by byte."""
     out = np.ones(len(a), bool)
-    for lo in range(0, len(a), 20_000):
-        n = length[lo : lo + 20_000]
+    some = 5_000
+    for lo in range(0, len(a), some):
+        n = length[lo : lo + some]
         which = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        differ = data[a[lo : lo + 20_000][which] + k] != data[b[lo : lo + 20_000][which] + k]
-        out[lo : lo + 20_000][which[differ]] = False
+        differ = data[a[lo : lo + some][which] + k] != data[b[lo : lo + some][which] + k]
+        out[lo : lo + some][which[differ]] = False
     return out
 
 
@@ -218,6 +219,6 @@ def equal_windows(data: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) ->
     """Direct comparison of windows, byte by byte."""
     out = np.empty(len(a), bool)
     step = np.arange(width)
-    for lo in range(0, len(a), 50_000):
-        out[lo : lo + 50_000] = (data[a[lo : lo + 50_000, None] + step] == data[b[lo : lo + 50_000, None] + step]).all(axis=1)
+    for lo in range(0, len(a), 10_000):
+        out[lo : lo + 10_000] = (data[a[lo : lo + 10_000, None] + step] == data[b[lo : lo + 10_000, None] + step]).all(axis=1)
     return out
