@@ -54,9 +54,9 @@ PART_RUNS = 250_000
 BLOCKS_PER_TASK = 4
 #: Different runs of one anchor from which its windows are dealt out one by one.
 HOT = 2_000
-#: Blocks that share a run (or parts of all blocks, for windows of hot anchors) per part that compares it.
 #: Bytes of one row of runs or windows.
 CELL_BYTES = 400_000
+#: Blocks that share a run per part that compares it; parts of all blocks, for windows of hot anchors.
 SHARE = 256
 SALTS = 64
 ATTEMPTS = 8
