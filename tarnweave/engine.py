@@ -18,12 +18,13 @@ from .functions.html import extract
 from .operators import frontier as fr
 from .operators import lifecycle as lc
 from .operators.matching import result_rows
+from .operators.stats import minute_stats, stats_row
 from .plans.ast import Query
 from .sources.config import Config
 from .sources.queries import QuerySet
 from .sources.snapshots import host_rows, read_snapshots, snapshot_items
 from .sources.state import Store
-from .sources.tables import host_directory, write_temporary
+from .sources.tables import append_results, host_directory, write_temporary
 from .streaming.frontier_stream import LINKS_PER_PAGE, links_of
 
 __all__ = ["Engine", "links_of"]
@@ -146,6 +147,16 @@ class Engine:
         due = fr.recrawl_due_seconds(self.frontier().where("queue = 'introduction'"), now).agg(F.min("due_in").alias("due_in"))
         return due.select(fr.recrawl_timer(F.col("due_in"))).where("due_in is not null").collect()[0][0] if due.first()["due_in"] is not None else None
 
+    def save_stats(self, downloads: DataFrame, gauges: DataFrame) -> None:
+        """Append the statistics rows of finished downloads, with the gauges of their minutes, to the engine's statistics."""
+        append_results(stats_row(minute_stats(downloads), gauges), f"{self.path}/stats")
+
+    def gauges(self, now: Column) -> DataFrame:
+        """One row of gauges: hosts that run, hosts in all, and this process's heap in KB."""
+        runtime = self.spark._jvm.java.lang.Runtime.getRuntime()
+        used, total = (runtime.totalMemory() - runtime.freeMemory()) // 1024, runtime.totalMemory() // 1024
+        return self.hosts().agg(now.alias("date"), F.count_if("running").alias("workers"), F.count("*").alias("domains")).select("*", F.lit(used).cast("long").alias("memory_alloc"), F.lit(total).cast("long").alias("memory_sys"))
+
     def stop(self) -> None:
         """Let ``run`` end after the turn it is in; its state is stored."""
         self.stopped = True

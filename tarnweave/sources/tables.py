@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 8) -> DataFrame:
+    """A folder of downloaded pages as a stream; a batch reads a bounded number of files."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
 def append_results(results: DataFrame, path: str) -> None:
     """Append result or statistics rows to a table."""
     results.write.mode("append").parquet(path)

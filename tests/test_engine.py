@@ -11,7 +11,7 @@ from tarnweave.operators import queues
 from tarnweave.sources import snapshots
 from tarnweave.sources.config import Config
 from tarnweave.sources.queries import QuerySet
-from tarnweave.sources.tables import seeds
+from tarnweave.sources.tables import pages_stream, seeds
 from tarnweave.streaming.matching_stream import stream_matches
 
 STORED = json.dumps([{"name": "cat", "root": {"type": "text", "text": "cat"}}])
@@ -101,6 +101,11 @@ def test_engine_limits_and_restart(spark, tmp_path):
     e.finish_turn(spark.createDataFrame([], RESPONSES), now())
     assert sorted(r.request_url for r in e.start_turn(now()).collect()) == ["https://a.com/later", "https://a.com/n"]
     assert e.pending().count() == 0 and len(e.store.versions()) <= 3
+    loads = spark.createDataFrame([(dt.datetime(2024, 1, 2, 0, 0, i), 120 * 1024, 40, i == 5, "a.com") for i in range(6)], "ts timestamp, size long, duration long, timeout boolean, host string")
+    for _ in range(2):
+        e.save_stats(loads, e.gauges(F.lit("2024-01-02 00:00:30").cast("timestamp")))
+    rows = spark.read.parquet(str(tmp_path / "state/stats")).collect()
+    assert [(r.requests, r.timeouts, r.workers, r.domains, r.download_speed, r.download_time, r.download_size) for r in rows] == [(5, 1, 1, 2, 10, 40, 120)] * 2 and rows[0].memory_sys >= rows[0].memory_alloc > 0
     e.stop()
     assert e.run(lambda wanted: None, now) == 0
 
@@ -190,7 +195,7 @@ def test_stream_matches(spark, tmp_path):
     (tmp_path / "q.json").write_text(STORED)
     df = spark.createDataFrame([(1, "a cat"), (2, "a dog")], "id int, text string")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    stream = pages_stream(spark, str(tmp_path / "in"), "id int, text string")
     stream_matches(stream, QuerySet(spark, str(tmp_path / "q.json")), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert [(r.id, r.query_id, r.snippet) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "cat", "a cat")]
 

@@ -59,3 +59,12 @@ def test_bucket_wraps(spark):
     texts = ["", "a", "é" * 30, "x" * 200]
     got = [r.b for r in spark.createDataFrame([(t,) for t in texts], "t string").select(to_bucket(F.col("t"), 17).alias("b")).collect()]
     assert got == [sum(b * 3 ** (k + 1) for k, b in enumerate(t.encode())) % 2**64 % 17 for t in texts]
+
+
+def test_casing_goes_rune_by_rune(spark):
+    from tarnweave.functions import text as tx
+
+    rows = [("ΟΔΟΣ ΣΑΣ İstanbul ÉÀ", "οδοσ σασ istanbul éà"), ("AΣ.", "aσ."), (None, None)]
+    got = spark.createDataFrame(rows, "t string, want string").select(tx.lower_runes(F.col("t")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got) and [tx.lower_text(t) for t, _ in rows if t] == [w for _, w in rows if w]
+    assert html.read("<p>ΟΔΟΣ</p>")[0] == "\0οδοσ"
