@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .packing import slices
 
 WINDOW = 13
@@ -222,7 +223,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str, window: int = WINDOW,
     df = docs.withColumns({"_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<struct<s:int,e:int>>"), "_items": F.array().cast("array<string>")})
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(b) for b in _blocks(benchmark, id_col, text_col)]
-    return df.mapInArrow(_searched(Tables(blocks, window), text, cut, CHUNK_BYTES if len(blocks) > 1 else SLICE_BYTES), df.schema)
+    return df.mapInArrow(trimmed(_searched(Tables(blocks, window), text, cut, CHUNK_BYTES if len(blocks) > 1 else SLICE_BYTES)), df.schema)
 
 
 def _n_hit():

@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, in_key_order, materialize, runs_of_key
+from .common import components, in_key_order, materialize, runs_of_key, trimmed
 from .packing import slices
 
 WORDS = 5
@@ -66,7 +66,9 @@ DEEPER = 2
 BUCKET = 2048
 #: Sets and shingles of a proposed group that one task compares; larger groups go in blocks.
 BLOCK_SETS = 1024
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 600_000
+#: Bytes of text that a worker shingles at a time.
+SLICE_BYTES = 3_000_000
 #: Bytes of a table of ids that is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 32_000_000
 SKETCH_BITS = 256
@@ -173,7 +175,7 @@ FEATURES = "doc_id long, h long, sid long, n int, sketch binary, nodes array<lon
 def _features(runs: int, threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8_000_000):
+            for part in slices(batch, "text", SLICE_BYTES):
                 sid, n, sk, nodes = [], [], [], []
                 for s in shingle_sets(part.column("text")):
                     n.append(len(s))
@@ -194,7 +196,7 @@ def _deeper(threshold: float, repeats: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8_000_000):
+            for part in slices(batch, "text", SLICE_BYTES):
                 sids, nodes = [], []
                 for s, sid, parents in zip(shingle_sets(part.column("text")), part.column("sid").to_pylist(), part.column("parents").to_pylist(), strict=True):
                     with np.errstate(over="ignore"):
@@ -326,7 +328,7 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles of the sets of proposed groups; rows whose text is of another set are dropped."""
     for batch in batches:
-        for part in slices(batch, "text", 8_000_000):
+        for part in slices(batch, "text", SLICE_BYTES):
             keep, raw, n = [], [], []
             sids = part.column("sid").to_pylist()
             for i, s in enumerate(shingle_sets(part.column("text"))):
@@ -351,7 +353,7 @@ def shared_tokens(sets: list[np.ndarray]) -> np.ndarray:
     used = np.repeat(count > 1, count)
     owner, column = owner[used], column[used]
     out = np.zeros((g, g), np.float64)
-    width = max(64, 8_000_000 // max(g, 1))
+    width = max(64, 4_000_000 // max(g, 1))
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, (at, at + width))
         m = np.zeros((g, min(width, int(column[-1]) + 1 - at)), np.float32)
@@ -433,7 +435,7 @@ def _around_centres(crowd: DataFrame, sets: DataFrame, bucket: int) -> tuple[Dat
     # as many copies of a centre as its members fill buckets, so that no key is hot
     centres = centres.select("node", "centre", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
     met = rows.withColumn("c", c(F.col("k"))).join(centres, ["node", "c"], "left").select("node", "sid", "n", "k", "minwise", "sketch", F.coalesce("centre", "sketch").alias("centre"))
-    placed = materialize(met.mapInArrow(_placed, "node long, sid long, k int, star boolean, rest boolean"), "jaccard_near")
+    placed = materialize(met.mapInArrow(trimmed(_placed), "node long, sid long, k int, star boolean, rest boolean"), "jaccard_near")
     heads = placed.where("star").groupBy("node").agg(F.min("sid").alias("b"), F.max("k").alias("k"))
     heads = heads.select("node", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
     star = placed.where("star").select("node", "sid", c(F.col("k")).alias("c")).join(heads, ["node", "c"])
@@ -446,7 +448,7 @@ def _from_centres(own: DataFrame) -> DataFrame:
     centres = in_key_order(voters, "root", _majority, "root long, k int, centre binary")
     centres = centres.select("root", "centre", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
     met = own.withColumn("c", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int")).join(centres, ["root", "c"], "left")
-    return met.select("sid", "root", "k", "n", "tokens", F.coalesce("centre", "tokens").alias("centre")).mapInArrow(_distances, "sid long, root long, k int, n int, q int")
+    return met.select("sid", "root", "k", "n", "tokens", F.coalesce("centre", "tokens").alias("centre")).mapInArrow(trimmed(_distances), "sid long, root long, k int, n int, q int")
 
 
 def _by_distance(placed: DataFrame, allowed: int) -> tuple[DataFrame, DataFrame]:
@@ -485,7 +487,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     n_copies (other documents of an equal set).
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    rows = materialize(slim.mapInArrow(_features(runs_for(recall), threshold), FEATURES), "jaccard_rows")
+    rows = materialize(slim.mapInArrow(trimmed(_features(runs_for(recall), threshold)), FEATURES), "jaccard_rows")
     sets = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"), F.count("*").alias("rows"))
     sets = materialize(sets, "jaccard_sets")
 
@@ -515,7 +517,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
             break
         parents = rest.groupBy("sid").agg(F.collect_set("node").alias("parents"))
         wanted = sets.select("sid", "rep.doc_id", "rep.h").join(parents, "sid")
-        deeper = _with_texts(slim, materialize(wanted, "jaccard_parents")).select("sid", "parents", "text").mapInArrow(_deeper(threshold, REPEATS), "sid long, node long").distinct()
+        deeper = _with_texts(slim, materialize(wanted, "jaccard_parents")).select("sid", "parents", "text").mapInArrow(trimmed(_deeper(threshold, REPEATS)), "sid long, node long").distinct()
         deeper = materialize(live(deeper), "jaccard_members")
         small = small.unionByName(deeper.where(F.col("size") <= bucket).select("node", "sid"))
         crowd = deeper.where(F.col("size") > bucket).select("node", "sid")
@@ -530,11 +532,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     need = sized.groupBy("root").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("k"))
     sized = materialize(sized.join(need, "root"), "jaccard_groups")
     fields = "sid long, root long, k int, size long, n int, tokens binary"
-    tokens = _with_texts(slim, sized.where("k = 1").select("sid", "root", "k", "size", "doc_id", "h")).mapInArrow(_sets_of, fields)
+    tokens = _with_texts(slim, sized.where("k = 1").select("sid", "root", "k", "size", "doc_id", "h")).mapInArrow(trimmed(_sets_of), fields)
     tokens = tokens.select(F.col("root").alias("task"), "sid", "n", F.lit(0).alias("side"), F.lit(None).cast("int").alias("q"), "tokens")
     wide = sized.where("k > 1").limit(1).count() > 0
     if wide:
-        own = materialize(_with_texts(slim, sized.where("k > 1").select("sid", "root", "k", "size", "doc_id", "h")).mapInArrow(_sets_of, fields), "jaccard_wide")
+        own = materialize(_with_texts(slim, sized.where("k > 1").select("sid", "root", "k", "size", "doc_id", "h")).mapInArrow(trimmed(_sets_of), fields), "jaccard_wide")
         placed = materialize(_from_centres(own), "jaccard_placed")
         certain, uncertain = _by_distance(placed, _certain(threshold))
         tokens = tokens.unionByName(uncertain.join(own.select("sid", "tokens"), "sid").select("task", "sid", "n", "side", "q", "tokens"))

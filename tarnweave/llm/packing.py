@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 SEQUENCE = 4096
 END_ID = 1
@@ -265,7 +265,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = SEQ
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = PIECE + (", ids binary" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
-    placed = materialize(slim.mapInArrow(_first_pass(path, capacity, end_id, open_bins, with_ids, names), schema), "pieces")
+    placed = materialize(slim.mapInArrow(trimmed(_first_pass(path, capacity, end_id, open_bins, with_ids, names)), schema), "pieces")
     loose = placed.where("not closed")
     n = loose.count()
     parts = max(1, -(-n // REPACK))
