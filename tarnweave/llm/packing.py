@@ -32,7 +32,7 @@ END_ID = 1
 OPEN_BINS = 256
 REPACK = 200_000
 #: Words that a worker keeps encoded between batches, and bytes of text encoded at a time.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 SLICE_BYTES = 12_000_000
 #: Closing marks, and the end of a word that keeps them a token of their own: a Latin letter or digit
 #: (not U+0130, whose lower case ends in a mark).
