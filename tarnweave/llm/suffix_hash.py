@@ -139,14 +139,14 @@ def common_prefix(ph: PrefixHash, a: np.ndarray, b: np.ndarray, most: int) -> np
     """Longest common prefix of the suffixes at ``a`` and ``b``, up to ``most``, by binary search over hashes."""
     low = np.zeros(len(a), np.int64)
     high = np.full(len(a), most, np.int64)
-    while True:
-        open_ = low < high
-        if not open_.any():
-            return low
+    sum_a, sum_b, inverse_a, inverse_b = ph.sums[a], ph.sums[b], ph.inverse[a], ph.inverse[b]
+    # halving ``most`` + 1 answers; those settled early compare their own prefix again, which changes nothing
+    for _ in range(most.bit_length()):
         mid = (low + high + 1) // 2
-        same = ph.of(a, a + mid) == ph.of(b, b + mid)
-        low = np.where(open_ & same, mid, low)
-        high = np.where(open_ & ~same, mid - 1, high)
+        same = (ph.sums[a + mid] - sum_a) * inverse_a == (ph.sums[b + mid] - sum_b) * inverse_b
+        low = np.where(same, mid, low)
+        high = np.where(same, high, mid - 1)
+    return low
 
 
 def _before(data: np.ndarray, ph: PrefixHash, a: np.ndarray, b: np.ndarray, most: int, ties: bool) -> np.ndarray:
@@ -160,8 +160,9 @@ def _before(data: np.ndarray, ph: PrefixHash, a: np.ndarray, b: np.ndarray, most
 def suffix_sort(data: np.ndarray, ph: PrefixHash, suffixes: np.ndarray, groups: np.ndarray, most: int) -> np.ndarray:
     """Mergesort of suffixes within groups by their first ``most`` bytes; order of equal ones is kept.
 
-    ``groups`` are sorted. All merges of one width go on at once: each suffix finds its place in the
-    sibling run by binary search, and each comparison is a logarithmic one over prefix hashes.
+    ``groups`` are sorted. All merges of one width go on at once: each suffix of a right run finds its place
+    in the left one by binary search, and each comparison is a logarithmic one over prefix hashes. Those of
+    the left run move by the number of right ones that come before them.
     Returns the order as indexes into ``suffixes``.
     """
     n = len(suffixes)
@@ -176,27 +177,30 @@ def suffix_sort(data: np.ndarray, ph: PrefixHash, suffixes: np.ndarray, groups:
     while width < size.max():
         at = np.flatnonzero(total > width)
         place = at - base[at]
-        run = place // width
-        odd = run % 2 == 1
-        sibling = base[at] + np.where(odd, run - 1, run + 1) * width
-        end = base[at] + total[at]
-        lo = np.minimum(sibling, end)
-        hi = np.minimum(sibling + width, end)
-        start = lo.copy()
-        mine = suffixes[order[at]]
+        odd = place // width % 2 == 1
+        right, left = at[odd], at[~odd]
+        run = place[odd] // width * width
+        # left runs that have a sibling are full
+        start = base[right] + run - width
+        lo, hi = start.copy(), start + width
+        mine = suffixes[order[right]]
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
                 break
             mid = (lo[open_] + hi[open_]) // 2
-            other = suffixes[order[mid]]
             # of equal suffixes those of the left run come first
-            goes = np.where(odd[open_], _before(data, ph, other, mine[open_], most, True), _before(data, ph, other, mine[open_], most, False))
+            goes = _before(data, ph, suffixes[order[mid]], mine[open_], most, True)
             lo[open_] = np.where(goes, mid + 1, lo[open_])
             hi[open_] = np.where(goes, hi[open_], mid)
-        target = base[at] + (run // 2) * 2 * width + (place - run * width) + (lo - start)
+        # right ones that stand before the left one at a place: those whose own place is at most that
+        count = np.bincount(lo, minlength=n + 1)
+        upto = np.cumsum(count)
+        run_start = base[left] + place[~odd] // width * width
+        moved = upto[left] - upto[run_start] + count[run_start]
         new = order.copy()
-        new[target] = order[at]
+        new[lo + place[odd] - run] = order[right]
+        new[left + moved] = order[left]
         order = new
         width *= 2
     return order
