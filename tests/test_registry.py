@@ -80,3 +80,17 @@ def _cut_pages(spark):
 def test_titles_cut_within_an_entity(spark, tmp_path):
     want = _same_as_sql(spark, "p_title", tmp_path, pages=_cut_pages(spark))
     assert (0, "Of&&amp") in want
+
+
+def test_texts_cut_within_an_entity(spark, tmp_path):
+    want = _same_as_sql(spark, "p_visible_text", tmp_path, pages=_cut_pages(spark))
+    assert (0, "\0of&&amp\0x\"") in want
+
+
+def test_entities_of_both_kinds():
+    from tarnweave.functions import html
+
+    assert html.unescape("&amp;&amp&#65;&#65&ampx;&lt") == "&&AA&x;<"
+    assert html.unescape("&amp;&amp&#65;&#65&ampx;&lt", bare=False) == "&&ampA&#65&ampx;&lt"
+    assert html.unescape("a?b&copy=1&amp", True, False) == "a?b&copy=1&"
+    assert html.read("<textarea>&amp;&amp</textarea>&lt", bare=False)[0] == "\0&&amp\0&lt"
