@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +41,6 @@ def encode_item(url: Column, depth: Column, cycle: Column, ignore: Column, fails
     return F.concat_ws("\t", url, depth.cast("string"), cycle.cast("string"), ignore.cast("string"), fails.cast("string"), format_time(download), format_time(started), index.cast("string"))
 
 
-HOST = "host string, scheme string, fail_streak int, fail_count int, last_fail_streak string, latest_cycle int, subdomains array<string>, items array<struct<queue:string,level:int,seq:int,line:string>>"
-
-
 def parse_snapshot(text: str) -> dict | None:
     """A snapshot's header, subdomains and item lines with their queues; None if the header is malformed."""
     lines = text.split("\n")
@@ -91,17 +85,41 @@ def format_snapshot(host: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
-def read_snapshots(files: DataFrame, text: str = "text") -> DataFrame:
-    """Snapshots (one row each) as host rows with their item lines; malformed ones are dropped."""
+def _lines(section: Column) -> Column:
+    """The lines of a section that has a line feed before each."""
+    return F.when(section == "", F.array().cast("array<string>")).otherwise(F.split(F.substring(section, 2, 2**31 - 1), "\n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [r for x in batch.column(0).to_pylist() if x and (r := parse_snapshot(x))]
-            item = pa.struct([("queue", pa.string()), ("level", pa.int32()), ("seq", pa.int32()), ("line", pa.string())])
-            schema = pa.schema([("host", pa.string()), ("scheme", pa.string()), ("fail_streak", pa.int32()), ("fail_count", pa.int32()), ("last_fail_streak", pa.string()), ("latest_cycle", pa.int32()), ("subdomains", pa.list_(pa.string())), ("items", pa.list_(item))])
-            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select(text).mapInArrow(run, HOST)
+def read_snapshots(files: DataFrame, text: str = "text") -> DataFrame:
+    """Snapshots (one row each) as host rows with their item lines; malformed ones are dropped. The rows are ``parse_snapshot``'s."""
+    c = F.col
+    head = F.substring_index(text, "\n", 1)
+    rows = files.where(c(text) != "").select(F.split(head, "\t").alias("_head"), F.substring(c(text), F.length(head) + 1, F.length(text)).alias("_body"))
+    # the older form of five parts has no streak to keep
+    old, part = F.size("_head") == 5, lambda i: F.get("_head", F.lit(i))
+    number = lambda i: F.when(F.btrim(part(i), F.lit(" \r")).rlike(r"^[+-]?\d+$"), F.btrim(part(i), F.lit(" \r")).try_cast("int"))
+    numbers = {"fail_streak": number(2), "fail_count": number(3), "latest_cycle": F.when(old, number(4)).otherwise(number(5))}
+    rows = rows.where(F.size("_head").isin(5, 6)).select("_head", "_body", *(n.alias(name) for name, n in numbers.items()))
+    rows = rows.where(" and ".join(f"{name} is not null" for name in numbers))
+    # a blank line, whose own line feed is that before it, ends a section
+    body = F.when(F.contains("_body", F.lit("\r")), F.regexp_replace("_body", r"\r(?=\n|\z)", "")).otherwise(c("_body"))
+    rows = rows.withColumn("_sections", F.split(body, r"\n(?=\n|\z)"))
+    queue = F.array(*(F.lit(q).cast("string") for q in SECTIONS))
+    level = F.array(*(F.lit(k - 4 if q == "failqueue" else None).cast("int") for k, q in enumerate(SECTIONS)))
+
+    def items(section: Column, k: Column) -> Column:
+        return F.transform(_lines(section), lambda line, i: F.struct(F.get(queue, k).alias("queue"), F.get(level, k).alias("level"), i.alias("seq"), line.alias("line")))
+
+    return rows.select(
+        part(0).alias("host"),
+        part(1).alias("scheme"),
+        F.when(old, 0).otherwise(c("fail_streak")).alias("fail_streak"),
+        F.when(old, 0).otherwise(c("fail_count")).alias("fail_count"),
+        F.when(~old & (part(4) != ""), part(4)).alias("last_fail_streak"),
+        "latest_cycle",
+        _lines(F.get("_sections", F.lit(0))).alias("subdomains"),
+        F.flatten(F.transform(F.slice("_sections", 2, len(SECTIONS)), items)).alias("items"),
+    )
 
 
 def snapshot_items(hosts: DataFrame) -> DataFrame:
@@ -112,14 +130,25 @@ def snapshot_items(hosts: DataFrame) -> DataFrame:
 
 
 def snapshot_texts(hosts: DataFrame) -> DataFrame:
-    """Host rows (as ``read_snapshots`` gives them) as snapshot texts: (host, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([r["host"] for r in rows], pa.string()), pa.array([format_snapshot(r) for r in rows], pa.string())], names=["host", "text"])
+    """Host rows (as ``read_snapshots`` gives them) as snapshot texts, those of ``format_snapshot``: (host, text).
 
-    return hosts.mapInArrow(run, "host string, text string")
+    All lines of a host are sorted once, by section and place; a blank line, which comes last, ends a section.
+    """
+    c = F.col
+    first = SECTIONS.index("failqueue")
+
+    def line(x: Column, i: Column) -> Column:
+        k = F.when(x["queue"].isNull() & x["level"].isNull(), SECTIONS.index(None))
+        k = k.when((x["queue"] == "failqueue") & x["level"].between(0, LEVELS - 1), x["level"] + first)
+        for queue in SECTIONS[:first]:
+            k = k.when((x["queue"] == queue) & x["level"].isNull(), SECTIONS.index(queue))
+        return F.struct(k.cast("int").alias("k"), F.lit(False).alias("end"), x["seq"].cast("long").alias("seq"), i.alias("i"), x["line"].alias("line"))
+
+    ends = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(True).alias("end"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("i"), F.lit("").alias("line")) for k, queue in enumerate(SECTIONS) if queue is not None))
+    known = F.filter(F.transform("items", line), lambda x: x["k"].isNotNull())
+    lines = F.transform(F.sort_array(F.concat(known, ends)), lambda x: x["line"])
+    head = F.concat_ws("\t", *(F.coalesce(c(x).cast("string"), F.lit("")) for x in ("host", "scheme", "fail_streak", "fail_count", "last_fail_streak", "latest_cycle")))
+    return hosts.select("host", F.concat(F.array_join(F.concat(F.array(head), "subdomains", F.array(F.lit("")), lines), "\n"), F.lit("\n")).alias("text"))
 
 
 def host_rows(snapshots: DataFrame) -> DataFrame:

@@ -143,3 +143,21 @@ def test_crawl_round(spark):
     r = results.first()
     assert (r.query_id, r.url, r.host, r.title, r.occurrences) == ("q", "http://www.s.com/i", "s.com", "T", 1)
     assert sorted((x.host, x.subdomain, x.url, x.depth, x.queue) for x in f.collect()) == [("o.org", "o.org", "/b", 0, "priority"), ("s.com", "www.s.com", "/a", 1, "priority")]
+
+
+def test_snapshots_by_columns_are_those_of_python(spark):
+    """Texts and rows as ``format_snapshot`` and ``parse_snapshot`` give them, without Python workers."""
+    queues_ = [("introduction", None), ("priority", None), ("queue", None), ("low", None), *(("failqueue", k) for k in range(snapshots.LEVELS)), (None, None), ("other", None), ("failqueue", 9)]
+    items = [{"queue": q, "level": level, "seq": s, "line": f"/{q}{level}{s}"} for s in (2, 0, 1, 11, 0) for q, level in queues_[:: 1 + s % 2]]
+    base = {"host": "a.com", "scheme": "http", "fail_streak": 1, "fail_count": -2, "last_fail_streak": "2024-01-02-03:04:05", "latest_cycle": 3, "subdomains": ["http://www.a.com", "http://a.com"], "items": items}
+    hosts = [base, base | {"host": "b.com", "items": [], "subdomains": [], "last_fail_streak": None}, base | {"host": "c.com", "items": items[::-3]}]
+    schema = "host string, scheme string, fail_streak int, fail_count int, last_fail_streak string, latest_cycle int, subdomains array<string>, items array<struct<queue:string,level:int,seq:int,line:string>>"
+    df = snapshots.snapshot_texts(spark.createDataFrame(hosts, schema))
+    texts = {r.host: r.text for r in df.collect()}
+    assert texts == {h["host"]: snapshots.format_snapshot(h) for h in hosts}
+    t = texts["a.com"]
+    odd = [t, texts["b.com"], t.replace("\n", "\r\n"), t[:-1], t + "\n\nmore\n", t[: len(t) // 2], "a\tb\t1\t2\t3", "a\tb\t1\t2\t3\n", "a\tb\t1\t2\t3\n\n\n/x\n\r\n\r\r\n/y\r\r\n", "a\tb\t1\t2\t\t3\n\n/é\ty", "a\tb\t 1 \t+2\t\t3", "a\tb\tx\t2\t\t3\n/x", "a\tb\t1\t\t3", "a\tb", "", None, "\n\n", "a\tb\t99999999999\t2\t3"]
+    read = snapshots.read_snapshots(spark.createDataFrame([(x,) for x in odd], "text string"))
+    assert "Python" not in (plan := read._jdf.queryExecution().optimizedPlan().toString()) and "InArrow" not in plan
+    want = [r for x in odd[:-1] if x and (r := snapshots.parse_snapshot(x))]
+    assert [r.asDict(True) for r in read.collect()] == want and read.dtypes == spark.createDataFrame([], schema).dtypes
