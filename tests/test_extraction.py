@@ -68,3 +68,15 @@ def test_casing_goes_rune_by_rune(spark):
     got = spark.createDataFrame(rows, "t string, want string").select(tx.lower_runes(F.col("t")).alias("got"), "want").collect()
     assert all(r.got == r.want for r in got) and [tx.lower_text(t) for t, _ in rows if t] == [w for _, w in rows if w]
     assert html.read("<p>ΟΔΟΣ</p>")[0] == "\0οδοσ"
+
+
+def test_pages_are_read_in_slices():
+    """A batch is read in slices of bounded HTML, a long page in one of its own; the rows stay as they are."""
+    import pyarrow as pa
+
+    pages = [f'<p>{"x" * 300_000}<a href="/{i}">' for i in range(9)] + ["<p>" + "y" * 1_500_000, None, "<p>", "<p>z<a href='/z'>"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(pages))), "_html": pages, "_links": [i % 2 == 0 for i in range(len(pages))]})
+    got = list(html._run(iter([batch, batch.slice(0, 0), batch.slice(2, 3)]), True))
+    assert [b.num_rows for b in got] == [3, 3, 3, 1, 3, 3]
+    want = [(i, *html.read(pages[i] or "", i % 2 == 0)) for i in [*range(len(pages)), 2, 3, 4]]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
